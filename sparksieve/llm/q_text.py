@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .simhash import near_copies
 from .substring import dedup_substrings
 
 
@@ -12,5 +14,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup}
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_copies(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op9_simhash_near_dedup": op9_simhash_near_dedup}
 SQL: dict[str, str] = {}
