@@ -217,11 +217,11 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def words_of(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def words_of(data: np.ndarray, cuts: np.ndarray, outside: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words in bytes of several texts that begin and end at `cuts`."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = ~_SPACE[data]
+    inside = ~outside[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     first = cuts[:-1]

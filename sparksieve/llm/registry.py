@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import q_native, q_pages, q_text
+from . import q_models, q_native, q_pages, q_text
 
-MODULES = (q_native, q_text, q_pages)
+MODULES = (q_native, q_text, q_pages, q_models)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
