@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontam import benchmark_matches
 from .simhash import near_copies
 from .substring import dedup_substrings
 
@@ -14,10 +15,15 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
 
+def op8_benchmark_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark, with the items they hold."""
+    return benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_copies(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op9_simhash_near_dedup": op9_simhash_near_dedup}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op8_benchmark_decontam": op8_benchmark_decontam, "op9_simhash_near_dedup": op9_simhash_near_dedup}
 SQL: dict[str, str] = {}
