@@ -83,7 +83,9 @@ def runs(texts: Texts, length: int) -> tuple[np.ndarray, ...]:
         last = np.append(first[1:], len(at)) - 1
         keep = fits[first]
         first, last = first[keep], last[keep]
-        for out, x in zip(found, (first + a, last + a, at[first] + a, mark[at[first]]), strict=True):
+        # Least hashes are small ones: mixed again, they spread over all buckets.
+        key = mix64(mark[at[first]] + np.uint64(0x5A))
+        for out, x in zip(found, (first + a, last + a, at[first] + a, key), strict=True):
             out.append(x)
     return tuple(np.concatenate([np.zeros(0, t), *x]) for x, t in zip(found, (np.int64, np.int64, np.int64, np.uint64), strict=True))
 
