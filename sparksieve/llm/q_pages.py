@@ -1,4 +1,4 @@
-"""Queries over web pages."""
+"""Queries over web pages and media."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .media import image_classes, rendered
 from .warc import derivatives, responses
 
 
@@ -18,5 +19,10 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op10_warc_derivatives": op10_warc_derivatives}
+def op7_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of copies among the pictures of all vectors, with edited copies of every tenth."""
+    return image_classes(rendered(table(spark, sf_dir, "embeddings")))
+
+
+QUERIES = {"op7_image_copies": op7_image_copies, "op10_warc_derivatives": op10_warc_derivatives}
 SQL: dict[str, str] = {}
