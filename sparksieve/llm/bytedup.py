@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .chunks import Texts, answer, ask, ask_again, bits, buckets, chunked, finish, groups, mix64, planes, split_sorted, unbits, unplanes
 from .substring import ANCHOR_BYTES, repeated_keys
@@ -43,7 +44,7 @@ PIECE = 64
 STARTS, SHARD_BYTES = 1 << 20, 2 << 20
 CELL = 32
 
-SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
+SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text_sha256 string, kept string"
 
 _BYTE = mix64((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
 _STEP = 0xD6E8FEB86659FD93  # odd, so that it has an inverse modulo 2^64
@@ -199,7 +200,7 @@ def repeats(blobs: list[bytes], length: int, shard_bytes: int) -> list[bytes]:
 
 
 def dedup_bytes(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, with_text: bool = True) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (null without with_text)."""
+    """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, text_sha256 and kept (null without with_text)."""
     if length <= PIECE:
         raise ValueError(f"length must be over {PIECE}")
     n = buckets(docs)
@@ -248,9 +249,10 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(texts.ids, pa.int64(), mask=texts.null), pa.array(np.diff(texts.offsets), pa.int64()), pa.array(np.diff(removed[texts.offsets]), pa.int64()), pa.array(np.diff(spans[texts.offsets]), pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), pa.array([x.decode("utf-8", "ignore") for x in kept] if with_text else [None] * len(kept), pa.string()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), pa.array([hashlib.sha256(texts.text(i)).hexdigest() if with_text else None for i in range(len(texts))], pa.string()),
+                pa.array([x.decode("utf-8", "ignore") for x in kept] if with_text else [None] * len(kept), pa.string()),
             ],
-            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text_sha256", "kept"],
         )
 
     def reply(blobs: list[bytes]) -> list[bytes]:
@@ -259,3 +261,18 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_
     repeated = answer(ask(chunks, anchors), repeated_keys, n)
     starts = answer(ask_again(chunks, [repeated], send), reply, n)
     return finish(chunks, [repeated, starts], cut, SCHEMA)
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs with repeated strings cut out of their texts; texts that lose all their bytes go.
+
+    Columns stay as they are but for text, and n_chars where there is one.  Only texts that lose something are joined
+    to what is left of them; rows are told by id and digest, so repeated rows lose the same.
+    """
+    found = dedup_bytes(docs, length).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"), F.col("kept").alias("_kept")).distinct()
+    keyed = docs.withColumn("_of", F.sha2("text", 256))
+    joined = keyed.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_digest")), "left")
+    kept = joined.filter("_kept is null or _kept <> ''")
+    text = F.coalesce("_kept", "text")
+    changed = {"text": text} | ({"n_chars": F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return kept.withColumns(changed).select(*docs.columns)

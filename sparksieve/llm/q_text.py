@@ -17,7 +17,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_bytes(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+    return dedup_bytes(table(spark, sf_dir, "documents"), with_text=False).drop("kept", "text_sha256")
 
 
 def op8_benchmark_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from sparksieve.llm.bytedup import dedup_bytes
+from sparksieve.llm.bytedup import dedup_bytes, without_repeats
 from sparksieve.llm.suffix import repeated_starts, suffix_array
 
 SCHEMA = "doc_id long, text string, n_bytes int, payload string"
@@ -72,15 +72,31 @@ def made(seed):
 def test_matches_brute_force(spark, shard):
     for seed in range(2):
         rows = made(seed)
-        got = dedup_bytes(spark.createDataFrame([(i, t, 1, "x") for i, t in rows], SCHEMA).repartition(3), 100, shard).drop("kept").collect()
+        got = dedup_bytes(spark.createDataFrame([(i, t, 1, "x") for i, t in rows], SCHEMA).repartition(3), 100, shard).drop("kept", "text_sha256").collect()
         assert sorted(map(tuple, got), key=repr) == brute(rows, 100)
 
 
 def test_production_length(spark):
     rows = made(5) + [(300 + i, made(6)[i][1] * 3) for i in range(10)]
-    got = dedup_bytes(spark.createDataFrame([(i, t, 1, "x") for i, t in rows], SCHEMA)).drop("kept").collect()
+    got = dedup_bytes(spark.createDataFrame([(i, t, 1, "x") for i, t in rows], SCHEMA)).drop("kept", "text_sha256").collect()
     assert sorted(map(tuple, got), key=repr) == brute(rows, 400)
 
 
+def test_without_repeats(spark):
+    rows = [(i, t) for i, t in made(7)]
+    got = without_repeats(spark.createDataFrame([(i, t, 1, "x") for i, t in rows], SCHEMA), 100).collect()
+    want = []
+    for i, n, removed, _, digest in brute(rows, 100):
+        if removed < n or not n:
+            want.append((i, digest if not removed or n else digest))
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == sorted(i for i, _ in want if i is not None)
+    by_id = {}
+    for i, digest in want:
+        by_id.setdefault(i, set()).add(digest)
+    cut_within_a_letter = sum(hashlib.sha256((r.text or "").encode()).hexdigest() not in by_id[r.doc_id] for r in got)
+    assert cut_within_a_letter <= len(got) // 3 and all(r.payload == "x" and r.n_bytes == 1 for r in got)
+
+
 def test_empty_table(spark):
+    assert without_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
     assert dedup_bytes(spark.createDataFrame([], SCHEMA)).collect() == []

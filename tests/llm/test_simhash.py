@@ -1,10 +1,9 @@
 import random
 import re
 
-import pytest
 import xxhash
 
-from sparksieve.llm.simhash import anchors, components, fingerprint, links, near_copies
+from sparksieve.llm.simhash import anchors, components, exact_similarity, fingerprint, links, near_copies, one_of_each
 
 SCHEMA = "doc_id long, text string, bits long, u string"
 
@@ -48,7 +47,7 @@ def test_links_of_fingerprints(spark):
             for _ in range(r.choice([1, 2, 3])):
                 x ^= 1 << r.randrange(64)
     signed = {x: x - 2**64 if x >= 2**63 else x for x in bits}
-    got = components(links(anchors(spark.createDataFrame([(s,) for s in signed.values()], "bits long"))))
+    got = components(links(anchors(spark.createDataFrame([(s, s) for s in signed.values()], "bits long, id long"))))
     root = {row.node: row.root for row in got.collect()}
     want = brute_components(sorted(bits))
     for a in bits:
@@ -69,6 +68,39 @@ def test_documents(spark):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
-@pytest.mark.parametrize("n", [0])
-def test_empty_table(spark, n):
+def test_one_of_each(spark):
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(60):
+        base = r.choices(words, k=r.choice([40, 150, 400]))
+        rows.append((i, " ".join(base)))
+        for k in range(r.choice([0, 1, 3])):
+            other = list(base)
+            for _ in range(r.choice([0, 1, 2, len(base) // 60, len(base) // 10])):
+                other[r.randrange(len(other))] = r.choice(words)
+            rows.append((100 * (k + 1) + i, " ".join(other).replace("w1 ", "W1\n")))
+    rows += [(900, None), (901, ""), (902, " "), (None, rows[0][1]), (None, None), rows[5], (903, "few words"), (904, "few words")]
+    kept = one_of_each(spark.createDataFrame([(i, t, 1, "x") for i, t in rows], SCHEMA).repartition(3)).collect()
+    have = [(x.doc_id, x.text) for x in kept]
+    assert all(x.bits == 1 and x.u == "x" for x in kept) and len(set(have)) == len(have)
+    distinct = {i: t for i, t in rows if i is not None}
+    near = {(a, b) for a in distinct for b in distinct if a < b and exact_similarity(distinct[a], distinct[b]) >= 0.8}
+    ids = {i for i, _ in have}
+    root = {i: i for i in distinct}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in near:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    assert ids - {None} == {find(i) for i in distinct}
+    assert (None, rows[0][1]) in have and (None, None) in have
+
+
+def test_empty_table(spark):
     assert near_copies(spark.createDataFrame([], SCHEMA)).collect() == []
+    assert one_of_each(spark.createDataFrame([], SCHEMA)).collect() == []
