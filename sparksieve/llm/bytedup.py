@@ -14,9 +14,12 @@ anchors, and the strings of one anchor start in one run of places.
    repeat.  Equal fragments enter a shard once; one that came twice repeats as a whole.
 3. Chunks remove what such starts cover.
 
-An anchor with more distinct fragments than a shard holds is split further: by 32 places of a start relative to the
-anchor, and by the bytes that all strings with these places share.  Fragments that share an anchor only part there,
-and no array is larger than a shard unless strings differ in their outer 31 bytes only.
+A passage that very many documents share has anchors with as many distinct fragments, for what stands around it
+differs.  Anchors of HOT or more chunks are therefore cut finer before anything is sent: into pieces of four starts by
+their places relative to the anchor.  All strings of a piece hold the same core, so another exchange of core hashes
+tells which pieces can repeat, and only those go out, to the bucket of their core.  Pieces with one core differ in
+three bytes at each end at most, so equal ones collapse and none gathers more than a bounded number of rows.
+In a bucket, an anchor with more fragments than a shard holds is split likewise, by 32 places.
 
 Cases: null and empty texts have no bytes; repeated rows remove each other; a text of one repeated letter has all of
 it removed; extra columns are left out; no rows give no rows.  Text that is cut within a character loses the rest
@@ -27,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +47,8 @@ PIECE = 64
 #: Starts that are looked at at a time; bytes of fragments in a shard.
 STARTS, SHARD_BYTES = 1 << 20, 2 << 20
 CELL = 32
+#: Chunks that have an anchor from which on it is cut finer, and the places of its pieces.
+HOT, HOT_CELL = 32, 4
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text_sha256 string, kept string"
 
@@ -107,22 +113,64 @@ class Chunk:
         several = np.diff(np.append(begin, len(key))) > 1
         self.keys = key[begin] | (several.astype(np.uint64) << np.uint64(8))
 
-    def fragments(self, texts: Texts, repeated: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct fragments in the order of their hashes, their hashes, anchors' places in them and counts; and each kept run's fragment."""
-        kept = np.flatnonzero(repeated[self.group])
-        self.kept = kept
+    def fragments(self, texts: Texts, wanted: np.ndarray) -> Fragments:
+        """Distinct fragments of the wanted runs (by anchor), in the order of their anchors' hashes."""
+        kept = np.flatnonzero(wanted[self.group])
         seen: dict[tuple[int, int, bytes], int] = {}
         number = []
         keys = (self.keys[self.group[kept]] & ~np.uint64(0x1FF)).tolist()
         data = memoryview(np.ascontiguousarray(texts.data))
         for k, a, b, p in zip(keys, self.first[kept].tolist(), self.last[kept].tolist(), self.at[kept].tolist(), strict=True):
             number.append(seen.setdefault((k, p - a, bytes(data[a : b + self.length])), len(seen)))
-        return [f for _, _, f in seen], np.array([k for k, _, _ in seen], np.uint64), np.array([p for _, p, _ in seen], np.uint64), np.bincount(number, minlength=len(seen)) if seen else np.zeros(0, np.int64), np.array(number, np.int64)
+        count = np.bincount(np.array(number, np.int64), minlength=len(seen))
+        return Fragments([f for _, _, f in seen], [k for k, _, _ in seen], [p for _, p, _ in seen], count.tolist(), kept, np.array(number, np.int64))
 
 
-def _sent(fragments: list[bytes], keys: np.ndarray, place: np.ndarray, count: np.ndarray) -> bytes:
+class Fragments(NamedTuple):
+    fragments: list[bytes]
+    keys: list[int]
+    places: list[int]  # of the anchor in the fragment
+    counts: list[int]
+    runs: np.ndarray  # the chunk's runs that have them
+    number: np.ndarray  # and which one each has
+
+
+class Piece(NamedTuple):
+    fragment: int
+    start: int  # first start in the fragment
+    starts: int
+    place: int  # of the anchor in the piece
+    core: int  # hash of what all its strings hold
+
+
+def cells(f: int, fragment: bytes, place: int, length: int, cell: int) -> Iterator[tuple[Piece, bytes]]:
+    """A fragment's pieces by `cell` places of a start relative to the anchor, each with its core."""
+    starts, far = len(fragment) - length + 1, place
+    while far > place - starts:  # starts are `place` to `place - starts + 1` bytes before the anchor
+        low = far // cell * cell
+        near = max(low, place - starts + 1)
+        # Strings that start low to low + cell - 1 bytes before the anchor all hold these bytes.
+        core = fragment[place - low : place - (low + cell - 1) + length]
+        yield Piece(f, place - far, far - near + 1, far, 0), core
+        far = near - 1
+
+
+def hot_pieces(found: Fragments, hot: list[int], length: int) -> list[Piece]:
+    """Pieces of the fragments `hot` with the hashes of their cores (and their places)."""
+    import xxhash
+
+    out = []
+    for f in hot:
+        for piece, core in cells(f, found.fragments[f], found.places[f], length, HOT_CELL):
+            out.append(piece._replace(core=xxhash.xxh3_64_intdigest(core, seed=piece.place // HOT_CELL) & ~0x1FF))
+    return out
+
+
+def _sent(units: list[tuple[int, int, bytes, int]]) -> bytes:
+    """(key, anchor's place, bytes, count) of each."""
+    keys, place, fragments, count = zip(*units, strict=True)
     size = np.array([len(f) for f in fragments], np.uint64)
-    raw = planes(keys) + planes(size * np.uint64(2) | (count > 1).astype(np.uint64)) + planes(place) + b"".join(fragments)
+    raw = planes(np.array(keys, np.uint64)) + planes(size * np.uint64(2) | (np.array(count) > 1).astype(np.uint64)) + planes(np.array(place, np.uint64)) + b"".join(fragments)
     return np.array([len(fragments), len(raw)], np.int64).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
 
 
@@ -161,15 +209,10 @@ class _Shard:
 def _split(fragments: list[tuple[bytes, int, np.ndarray]], length: int, shard: _Shard) -> None:
     """Compares fragments of one anchor that are too many for a shard, by the starts' places relative to the anchor."""
     parts: dict[tuple[int, bytes], dict[bytes, list[np.ndarray]]] = {}
-    for f, p, flags in fragments:
-        far = p  # starts are p to p - len(flags) + 1 bytes before the anchor
-        while far > p - len(flags):
-            cell = far // CELL
-            near = max(cell * CELL, p - len(flags) + 1)
-            # All strings that start CELL * cell to CELL * cell + CELL - 1 bytes before the anchor hold these bytes.
-            core = f[p - cell * CELL : p - (cell * CELL + CELL - 1) + length]
-            parts.setdefault((cell, core), {}).setdefault(f[p - far : p - near + length], []).append(flags[p - far : p - near + 1])
-            far = near - 1
+    for f, place, flags in fragments:
+        for piece, core in cells(0, f, place, length, CELL):
+            own = parts.setdefault((piece.place // CELL, core), {})
+            own.setdefault(f[piece.start : piece.start + piece.starts + length - 1], []).append(flags[piece.start : piece.start + piece.starts])
     for group in parts.values():
         for same in group.values():
             for flags in same:
@@ -178,6 +221,13 @@ def _split(fragments: list[tuple[bytes, int, np.ndarray]], length: int, shard: _
             shard.add([*group.items()])
 
 
+def repeated_or_hot(blobs: list[bytes], hot: int) -> list[bytes]:
+    """As repeated_keys(), followed by which keys stand in `hot` lists or more."""
+    lists = [unplanes(b, np.uint64, ANCHOR_BYTES) & ~np.uint64(0x1FF) for b in blobs]
+    key, count = np.unique(np.concatenate(lists), return_counts=True)
+    return [r + bits(count[np.searchsorted(key, x)] >= hot) for r, x in zip(repeated_keys(blobs), lists, strict=True)]
+
+
 def repeats(blobs: list[bytes], length: int, shard_bytes: int) -> list[bytes]:
     """For each chunk's fragments, which of their starts repeat, as bits."""
     lists = [_received(b) for b in blobs]
@@ -199,7 +249,7 @@ def repeats(blobs: list[bytes], length: int, shard_bytes: int) -> list[bytes]:
     return [bits(np.concatenate([np.zeros(0, bool), *(flags[i] for i in n)])) for n in number]
 
 
-def dedup_bytes(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, with_text: bool = True) -> DataFrame:
+def dedup_bytes(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, with_text: bool = True, hot_chunks: int = HOT) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, text_sha256 and kept (null without with_text)."""
     if length <= PIECE:
         raise ValueError(f"length must be over {PIECE}")
@@ -212,30 +262,72 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_
         for k in np.flatnonzero(np.diff(cuts)).tolist():
             yield k, planes(keys[cuts[k] : cuts[k + 1]], ANCHOR_BYTES)
 
-    def fragments(texts: Texts, got: list[dict[int, bytes]]):
+    def judged(texts: Texts, got: dict[int, bytes]) -> tuple[Chunk, np.ndarray, np.ndarray]:
+        """A chunk, and which of its anchors repeat and are hot."""
         c = Chunk(texts, length)
         cuts = split_sorted(c.keys, n)
-        repeated = [np.zeros(0, bool), *(unbits(got[0][k], int(cuts[k + 1] - cuts[k])) for k in np.flatnonzero(np.diff(cuts)).tolist())]
-        found = c.fragments(texts, np.concatenate(repeated))
-        return c, found, split_sorted(found[1], n)
+        both = [[np.zeros(0, bool)], [np.zeros(0, bool)]]
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            size = int(cuts[k + 1] - cuts[k])
+            both[0].append(unbits(got[k][: -(-size // 8)], size))
+            both[1].append(unbits(got[k][-(-size // 8) :], size))
+        return c, np.concatenate(both[0]), np.concatenate(both[1])
+
+    def core_keys(found: Fragments, pieces: list[Piece]) -> np.ndarray:
+        """Distinct core hashes in order, marked (bit 8) if several pieces have them."""
+        if not pieces:
+            return np.zeros(0, np.uint64)
+        key, own = np.unique(np.array([p.core for p in pieces], np.uint64), return_inverse=True)
+        return key | ((np.bincount(own, [found.counts[p.fragment] for p in pieces]) > 1).astype(np.uint64) << np.uint64(8))
+
+    def cores(texts: Texts, got: list[dict[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+        c, repeated, hot = judged(texts, got[0])
+        found = c.fragments(texts, repeated & hot)
+        keys = core_keys(found, hot_pieces(found, [*range(len(found.fragments))], length))
+        cuts = split_sorted(keys, n)
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            yield k, planes(keys[cuts[k] : cuts[k + 1]], ANCHOR_BYTES)
+
+    def units(texts: Texts, got: list[dict[int, bytes]]):
+        """What a chunk sends, by bucket, and for each unit the (fragment, first start, starts) that it stands for."""
+        c, repeated, hot = judged(texts, got[0])
+        found = c.fragments(texts, repeated)
+        hot_keys = set((c.keys[repeated & hot] & ~np.uint64(0x1FF)).tolist())
+        pieces = hot_pieces(found, [i for i, k in enumerate(found.keys) if k in hot_keys], length)
+        keys = core_keys(found, pieces)
+        cuts = split_sorted(keys, n)
+        again = np.concatenate([np.zeros(0, bool), *(unbits(got[1][k], int(cuts[k + 1] - cuts[k])) for k in np.flatnonzero(np.diff(cuts)).tolist())])
+        live = set((keys[again] & ~np.uint64(0x1FF)).tolist())
+        made: dict[tuple[int, int, bytes], list[tuple[int, int, int]]] = {}
+        for p in pieces:
+            if p.core in live:
+                made.setdefault((p.core, p.place, found.fragments[p.fragment][p.start : p.start + p.starts + length - 1]), []).append((p.fragment, p.start, p.starts))
+        for i, (f, k, place) in enumerate(zip(found.fragments, found.keys, found.places, strict=True)):
+            if k not in hot_keys:
+                made[k, place, f] = [(i, 0, len(f) - length + 1)]
+        out: dict[int, list[tuple[tuple[int, int, bytes, int], list[tuple[int, int, int]]]]] = {}
+        for (k, place, f), owners in made.items():
+            out.setdefault((k * n) >> 64, []).append(((k, place, f, sum(found.counts[i] for i, *_ in owners)), owners))
+        return c, found, out
 
     def send(texts: Texts, got: list[dict[int, bytes]]) -> Iterator[tuple[int, bytes]]:
-        _, (fs, keys, place, count, _), cuts = fragments(texts, got)
-        for k in np.flatnonzero(np.diff(cuts)).tolist():
-            a, b = int(cuts[k]), int(cuts[k + 1])
-            yield k, _sent(fs[a:b], keys[a:b], place[a:b], count[a:b])
+        for k, own in units(texts, got)[2].items():
+            yield k, _sent([u for u, _ in own])
 
     def cut(texts: Texts, got: list[dict[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        c, (fs, _, _, _, number), cuts = fragments(texts, got)
-        starts = np.array([len(f) - length + 1 for f in fs], np.int64)
-        flags = [np.zeros(0, bool), *(unbits(got[1][k], int(starts[cuts[k] : cuts[k + 1]].sum())) for k in np.flatnonzero(np.diff(cuts)).tolist())]
-        flags, begin = np.concatenate(flags), np.concatenate([[0], np.cumsum(starts)])
+        c, found, sent = units(texts, got)
+        flags = [np.zeros(len(f) - length + 1, bool) for f in found.fragments]
+        for k, own in sent.items():
+            sizes = [owners[0][2] for _, owners in own]
+            for (_, owners), hit in zip(own, np.split(unbits(got[2][k], sum(sizes)), np.cumsum(sizes)[:-1]), strict=True):
+                for f, start, starts in owners:
+                    flags[f][start : start + starts] |= hit
+        hits = [np.flatnonzero(f) for f in flags]
         step = np.zeros(len(texts.data) + 1, np.int32)
-        for i, f in zip(c.kept.tolist(), number.tolist(), strict=True):
-            hit = np.flatnonzero(flags[begin[f] : begin[f + 1]])
-            if len(hit):
-                np.add.at(step, hit + c.first[i], 1)
-                np.add.at(step, hit + c.first[i] + length, -1)
+        for i, f in zip(found.runs.tolist(), found.number.tolist(), strict=True):
+            if len(hits[f]):
+                np.add.at(step, hits[f] + c.first[i], 1)
+                np.add.at(step, hits[f] + c.first[i] + length, -1)
         gone = np.cumsum(step)[:-1] > 0
         removed = np.concatenate([[0], np.cumsum(gone)])
         opens = gone.copy()
@@ -258,9 +350,10 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_
     def reply(blobs: list[bytes]) -> list[bytes]:
         return repeats(blobs, length, shard_bytes)
 
-    repeated = answer(ask(chunks, anchors), repeated_keys, n)
-    starts = answer(ask_again(chunks, [repeated], send), reply, n)
-    return finish(chunks, [repeated, starts], cut, SCHEMA)
+    repeated = answer(ask(chunks, anchors), lambda blobs: repeated_or_hot(blobs, hot_chunks), n)
+    shared_cores = answer(ask_again(chunks, [repeated], cores), repeated_keys, n)
+    starts = answer(ask_again(chunks, [repeated, shared_cores], send), reply, n)
+    return finish(chunks, [repeated, shared_cores, starts], cut, SCHEMA)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:

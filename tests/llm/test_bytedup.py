@@ -68,11 +68,11 @@ def made(seed):
     return rows
 
 
-@pytest.mark.parametrize("shard", [2 << 20, 3000])
-def test_matches_brute_force(spark, shard):
+@pytest.mark.parametrize(("shard", "hot"), [(2 << 20, 32), (3000, 32), (2 << 20, 1), (2 << 20, 2)])
+def test_matches_brute_force(spark, shard, hot):
     for seed in range(2):
         rows = made(seed)
-        got = dedup_bytes(spark.createDataFrame([(i, t, 1, "x") for i, t in rows], SCHEMA).repartition(3), 100, shard).drop("kept", "text_sha256").collect()
+        got = dedup_bytes(spark.createDataFrame([(i, t, 1, "x") for i, t in rows], SCHEMA).repartition(3), 100, shard, hot_chunks=hot).drop("kept", "text_sha256").collect()
         assert sorted(map(tuple, got), key=repr) == brute(rows, 100)
 
 
