@@ -17,7 +17,7 @@ aggregation only.  Components are found in tables (components.py).
 similar_groups() is the same for texts that share most words rather than nearly all: LANES words of 32 bits, of
 several fingerprints of two-word shingles, each compared as above, give candidates, and exact similarity of
 five-word shingles decides.  Two texts of similarity 0.8 differ in 9 % of a fingerprint's bits or so, and then agree
-on one lane of six but for two bits with a chance over 95 %; unrelated texts do so in a few of a million pairs (more
+on one lane of six but for two bits with a chance over 95 % (short texts have more lanes for that); unrelated texts do so in a few of a million pairs (more
 documents need longer lanes).
 
 Cases: null and empty texts (no words) have fingerprint zero and link like any other; fewer words than a
@@ -166,8 +166,10 @@ def near_copies(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return marked.join(of, F.col("bits") == F.col("b")).select("doc_id", "bits", "component_id")
 
 
-#: Words of 32 bits of a document; shingles of the fingerprints and of exact similarity; the least similarity.
-LANES, LANE_BITS, LANE_SHINGLE, EXACT_SHINGLE, SIMILARITY = 6, 32, 2, 5, 0.8
+#: Lanes of a document, and of one with fewer than SHORT words: a few shingles make bits that change easily.
+LANES, SHORT_LANES, SHORT = 6, 16, 40
+#: Bits of a lane; shingles of the fingerprints and of exact similarity; the least similarity.
+LANE_BITS, LANE_SHINGLE, EXACT_SHINGLE, SIMILARITY = 32, 2, 5, 0.8
 
 
 def lanes(text: bytes) -> tuple[int, list[int]]:
@@ -180,7 +182,7 @@ def lanes(text: bytes) -> tuple[int, list[int]]:
     starts = [0, *[e + 1 for e in ends]]
     hashes = np.array([one(joined[a:b], 42) for a, b in zip(starts, ends[LANE_SHINGLE - 1 :] or ends[-1:], strict=False)], np.uint64)
     found = []
-    for k in range(0, LANES, 2):
+    for k in range(0, LANES if len(words) >= SHORT else SHORT_LANES, 2):
         own, count = hashes if not k else mix64(hashes + np.uint64(k)), np.zeros(64, np.int64)
         for i in range(0, len(own), COUNTED):
             count += np.unpackbits(own[i : i + COUNTED].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
