@@ -16,9 +16,10 @@ anchors, and the strings of one anchor start in one run of places.
 
 A passage that very many documents share has anchors with as many distinct fragments, for what stands around it
 differs.  Anchors of HOT or more chunks are therefore cut finer before anything is sent: into pieces of four starts by
-their places relative to the anchor.  All strings of a piece hold the same core, so another exchange of core hashes
-tells which pieces can repeat, and only those go out, to the bucket of their core.  Pieces with one core differ in
-three bytes at each end at most, so equal ones collapse and none gathers more than a bounded number of rows.
+their places relative to the anchor.  All strings of a piece hold the same core.  Another exchange, of hashes of cores
+and pieces, tells which pieces stand elsewhere too as they are, and which differ from others with their core; of the
+latter, one chunk each sends the piece to the bucket of its core.  They differ in three bytes at each end at most, so
+no bucket gathers more than a bounded number of them.
 In a bucket, an anchor with more fragments than a shard holds is split likewise, by 32 places.
 
 Cases: null and empty texts have no bytes; repeated rows remove each other; a text of one repeated letter has all of
@@ -141,6 +142,7 @@ class Piece(NamedTuple):
     starts: int
     place: int  # of the anchor in the piece
     core: int  # hash of what all its strings hold
+    mark: int  # hash of the whole piece
 
 
 def cells(f: int, fragment: bytes, place: int, length: int, cell: int) -> Iterator[tuple[Piece, bytes]]:
@@ -151,21 +153,72 @@ def cells(f: int, fragment: bytes, place: int, length: int, cell: int) -> Iterat
         near = max(low, place - starts + 1)
         # Strings that start low to low + cell - 1 bytes before the anchor all hold these bytes.
         core = fragment[place - low : place - (low + cell - 1) + length]
-        yield Piece(f, place - far, far - near + 1, far, 0), core
+        yield Piece(f, place - far, far - near + 1, far, 0, 0), core
         far = near - 1
 
 
 def hot_pieces(found: Fragments, hot: list[int], length: int) -> list[Piece]:
-    """Pieces of the fragments `hot` with the hashes of their cores (and their places)."""
+    """Pieces of the fragments `hot` with their hashes (of places too)."""
     import xxhash
 
-    out = []
-    for f in hot:
-        for piece, core in cells(f, found.fragments[f], found.places[f], length, HOT_CELL):
-            out.append(piece._replace(core=xxhash.xxh3_64_intdigest(core, seed=piece.place // HOT_CELL) & ~0x1FF))
+    out, one = [], xxhash.xxh3_64_intdigest
+    for i in hot:
+        f = found.fragments[i]
+        for piece, core in cells(i, f, found.places[i], length, HOT_CELL):
+            out.append(piece._replace(core=one(core, piece.place // HOT_CELL), mark=one(f[piece.start : piece.start + piece.starts + length - 1], piece.place)))
     return out
 
 
+class PieceList:
+    """Distinct (core, piece) hashes of a chunk in order, and which one each piece has."""
+
+    def __init__(self, found: Fragments, pieces: list[Piece]):
+        self.pieces = pieces
+        core, mark = (np.array([getattr(p, k) for p in pieces], np.uint64) for k in ("core", "mark"))
+        order = np.lexsort((mark, core))
+        core, mark = core[order], mark[order]
+        new = groups(core) | groups(mark)
+        self.own = np.empty(len(pieces), np.int64)
+        self.own[order] = np.cumsum(new) - 1
+        self.core, self.mark = core[new], mark[new]
+        self.several = np.bincount(self.own, [found.counts[p.fragment] for p in pieces], len(self.core)) > 1
+
+    def asked(self, n: int) -> Iterator[tuple[int, bytes]]:
+        cuts = split_sorted(self.core, n)
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            own = slice(cuts[k], cuts[k + 1])
+            yield k, (int(cuts[k + 1] - cuts[k])).to_bytes(8, "big") + planes(self.core[own]) + planes(self.mark[own]) + bits(self.several[own])
+
+    def answered(self, got: dict[int, bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each piece: it stands elsewhere too; this chunk is to send it."""
+        cuts = split_sorted(self.core, n)
+        both = [[np.zeros(0, bool)], [np.zeros(0, bool)]]
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            size = int(cuts[k + 1] - cuts[k])
+            both[0].append(unbits(got[k][: -(-size // 8)], size))
+            both[1].append(unbits(got[k][-(-size // 8) :], size))
+        return np.concatenate(both[0])[self.own], np.concatenate(both[1])[self.own]
+
+
+def judged_pieces(blobs: list[bytes]) -> list[bytes]:
+    """For each list: which pieces stand several times, then which are to be sent: the first of each kind, where a core has several kinds."""
+    sizes = [int.from_bytes(b[:8], "big") for b in blobs]
+    core = np.concatenate([unplanes(b[8 : 8 + 8 * n], np.uint64) for b, n in zip(blobs, sizes, strict=True)])
+    mark = np.concatenate([unplanes(b[8 + 8 * n : 8 + 16 * n], np.uint64) for b, n in zip(blobs, sizes, strict=True)])
+    several = np.concatenate([unbits(b[8 + 16 * n :], n) for b, n in zip(blobs, sizes, strict=True)])
+    order = np.lexsort((mark, core))
+    new_core = groups(core[order])
+    new = new_core | groups(mark[order])
+    kind = np.cumsum(new) - 1
+    often = np.bincount(kind, several[order] + 1)[kind] > 1
+    group = np.cumsum(new_core) - 1
+    kinds = np.bincount(group, new)[group] > 1
+    again, send = np.zeros(len(core), bool), np.zeros(len(core), bool)
+    again[order], send[order] = often, new & kinds
+    ends = np.cumsum(sizes)[:-1]
+    return [bits(a) + bits(b) for a, b in zip(np.split(again, ends), np.split(send, ends), strict=True)]
+
+
 def _sent(units: list[tuple[int, int, bytes, int]]) -> bytes:
     """(key, anchor's place, bytes, count) of each."""
     keys, place, fragments, count = zip(*units, strict=True)
@@ -273,50 +326,41 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_
             both[1].append(unbits(got[k][-(-size // 8) :], size))
         return c, np.concatenate(both[0]), np.concatenate(both[1])
 
-    def core_keys(found: Fragments, pieces: list[Piece]) -> np.ndarray:
-        """Distinct core hashes in order, marked (bit 8) if several pieces have them."""
-        if not pieces:
-            return np.zeros(0, np.uint64)
-        key, own = np.unique(np.array([p.core for p in pieces], np.uint64), return_inverse=True)
-        return key | ((np.bincount(own, [found.counts[p.fragment] for p in pieces]) > 1).astype(np.uint64) << np.uint64(8))
+    def hot_list(c: Chunk, found: Fragments, hot: np.ndarray) -> PieceList:
+        keys = set((c.keys[hot] & ~np.uint64(0x1FF)).tolist())
+        return PieceList(found, hot_pieces(found, [i for i, k in enumerate(found.keys) if k in keys], length))
 
-    def cores(texts: Texts, got: list[dict[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+    def pieces(texts: Texts, got: list[dict[int, bytes]]) -> Iterator[tuple[int, bytes]]:
         c, repeated, hot = judged(texts, got[0])
-        found = c.fragments(texts, repeated & hot)
-        keys = core_keys(found, hot_pieces(found, [*range(len(found.fragments))], length))
-        cuts = split_sorted(keys, n)
-        for k in np.flatnonzero(np.diff(cuts)).tolist():
-            yield k, planes(keys[cuts[k] : cuts[k + 1]], ANCHOR_BYTES)
+        yield from hot_list(c, c.fragments(texts, repeated & hot), hot).asked(n)
 
     def units(texts: Texts, got: list[dict[int, bytes]]):
-        """What a chunk sends, by bucket, and for each unit the (fragment, first start, starts) that it stands for."""
+        """What a chunk sends, by bucket, each unit with the (fragment, first start, starts) it stands for; and flags that are known before."""
         c, repeated, hot = judged(texts, got[0])
         found = c.fragments(texts, repeated)
-        hot_keys = set((c.keys[repeated & hot] & ~np.uint64(0x1FF)).tolist())
-        pieces = hot_pieces(found, [i for i, k in enumerate(found.keys) if k in hot_keys], length)
-        keys = core_keys(found, pieces)
-        cuts = split_sorted(keys, n)
-        again = np.concatenate([np.zeros(0, bool), *(unbits(got[1][k], int(cuts[k + 1] - cuts[k])) for k in np.flatnonzero(np.diff(cuts)).tolist())])
-        live = set((keys[again] & ~np.uint64(0x1FF)).tolist())
+        listed = hot_list(c, found, hot)
+        flags = [np.zeros(len(f) - length + 1, bool) for f in found.fragments]
         made: dict[tuple[int, int, bytes], list[tuple[int, int, int]]] = {}
-        for p in pieces:
-            if p.core in live:
+        for p, again, send in zip(listed.pieces, *(x.tolist() for x in listed.answered(got[1], n)), strict=True):
+            if again:
+                flags[p.fragment][p.start : p.start + p.starts] = True
+            if send:
                 made.setdefault((p.core, p.place, found.fragments[p.fragment][p.start : p.start + p.starts + length - 1]), []).append((p.fragment, p.start, p.starts))
+        cut_up = {p.fragment for p in listed.pieces}
         for i, (f, k, place) in enumerate(zip(found.fragments, found.keys, found.places, strict=True)):
-            if k not in hot_keys:
+            if i not in cut_up:
                 made[k, place, f] = [(i, 0, len(f) - length + 1)]
         out: dict[int, list[tuple[tuple[int, int, bytes, int], list[tuple[int, int, int]]]]] = {}
         for (k, place, f), owners in made.items():
             out.setdefault((k * n) >> 64, []).append(((k, place, f, sum(found.counts[i] for i, *_ in owners)), owners))
-        return c, found, out
+        return c, found, flags, out
 
     def send(texts: Texts, got: list[dict[int, bytes]]) -> Iterator[tuple[int, bytes]]:
-        for k, own in units(texts, got)[2].items():
+        for k, own in units(texts, got)[3].items():
             yield k, _sent([u for u, _ in own])
 
     def cut(texts: Texts, got: list[dict[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        c, found, sent = units(texts, got)
-        flags = [np.zeros(len(f) - length + 1, bool) for f in found.fragments]
+        c, found, flags, sent = units(texts, got)
         for k, own in sent.items():
             sizes = [owners[0][2] for _, owners in own]
             for (_, owners), hit in zip(own, np.split(unbits(got[2][k], sum(sizes)), np.cumsum(sizes)[:-1]), strict=True):
@@ -351,9 +395,9 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_
         return repeats(blobs, length, shard_bytes)
 
     repeated = answer(ask(chunks, anchors), lambda blobs: repeated_or_hot(blobs, hot_chunks), n)
-    shared_cores = answer(ask_again(chunks, [repeated], cores), repeated_keys, n)
-    starts = answer(ask_again(chunks, [repeated, shared_cores], send), reply, n)
-    return finish(chunks, [repeated, shared_cores, starts], cut, SCHEMA)
+    hot = answer(ask_again(chunks, [repeated], pieces), judged_pieces, n)
+    starts = answer(ask_again(chunks, [repeated, hot], send), reply, n)
+    return finish(chunks, [repeated, hot, starts], cut, SCHEMA)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
