@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import shuffle_partitions, table
 from .media import image_classes, rendered
 from .warc import derivatives, responses
 
@@ -21,7 +21,9 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of copies among the pictures of all vectors, with edited copies of every tenth."""
-    return image_classes(rendered(table(spark, sf_dir, "embeddings")))
+    # A row is a few bytes and milliseconds of work: small files hold too many rows for a task each.
+    vectors = table(spark, sf_dir, "embeddings").repartition(shuffle_partitions(spark), "vec_id")
+    return image_classes(rendered(vectors))
 
 
 QUERIES = {"op7_image_copies": op7_image_copies, "op10_warc_derivatives": op10_warc_derivatives}
