@@ -45,8 +45,8 @@ from .suffix import repeated_starts
 LENGTH = 400
 #: Bytes of a piece whose hash can make it an anchor.
 PIECE = 64
-#: Starts that are looked at at a time; bytes of fragments in a shard.
-STARTS, SHARD_BYTES = 1 << 20, 2 << 20
+#: Starts that are looked at at a time (their arrays fit a cache); bytes of fragments in a shard.
+STARTS, SHARD_BYTES = 1 << 16, 2 << 20
 CELL = 32
 #: Chunks that have an anchor from which on it is cut finer, and the places of its pieces.
 HOT, HOT_CELL = 32, 4
@@ -366,13 +366,14 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_
             for (_, owners), hit in zip(own, np.split(unbits(got[2][k], sum(sizes)), np.cumsum(sizes)[:-1]), strict=True):
                 for f, start, starts in owners:
                     flags[f][start : start + starts] |= hit
-        hits = [np.flatnonzero(f) for f in flags]
-        step = np.zeros(len(texts.data) + 1, np.int32)
-        for i, f in zip(found.runs.tolist(), found.number.tolist(), strict=True):
-            if len(hits[f]):
-                np.add.at(step, hits[f] + c.first[i], 1)
-                np.add.at(step, hits[f] + c.first[i] + length, -1)
-        gone = np.cumsum(step)[:-1] > 0
+        start = np.zeros(len(texts.data), bool)  # runs share no starts
+        some = [bool(f.any()) for f in flags]
+        for a, b, f in zip(c.first[found.runs].tolist(), c.last[found.runs].tolist(), found.number.tolist(), strict=True):
+            if some[f]:
+                start[a : b + 1] = flags[f]
+        step = start.astype(np.int32)
+        step[length:] -= start[:-length]
+        gone = np.cumsum(step) > 0
         removed = np.concatenate([[0], np.cumsum(gone)])
         opens = gone.copy()
         opens[1:] &= ~gone[:-1]
