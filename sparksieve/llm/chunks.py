@@ -28,8 +28,8 @@ from .common import saved, shuffle_partitions
 
 #: Bytes of text in a chunk, about.  More make an exchange smaller and its tasks larger.
 CHUNK_BYTES = 8 << 20
-#: Bytes of words that numpy hashes at a time.
-SLICE_BYTES = 1 << 20
+#: Bytes of words that numpy hashes at a time (their arrays fit a cache).
+SLICE_BYTES = 1 << 16
 #: A null id compares as the largest.
 NO_ID = np.iinfo(np.int64).max
 
