@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Texts, answer, ask, ask_again, bits, buckets, chunked, finish, groups, mix64, planes, split_sorted, unbits, unplanes
+from .chunks import Answers, Texts, answer, ask, bits, buckets, chunked, finish, groups, mix64, planes, split_sorted, unbits, unplanes
 from .substring import ANCHOR_BYTES, repeated_keys
 from .suffix import repeated_starts
 
@@ -309,7 +309,7 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_
     n = buckets(docs)
     chunks = chunked(docs)
 
-    def anchors(texts: Texts) -> Iterator[tuple[int, bytes]]:
+    def anchors(texts: Texts, _: Answers) -> Iterator[tuple[int, bytes]]:
         keys = Chunk(texts, length).keys
         cuts = split_sorted(keys, n)
         for k in np.flatnonzero(np.diff(cuts)).tolist():
@@ -330,11 +330,11 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_
         keys = set((c.keys[hot] & ~np.uint64(0x1FF)).tolist())
         return PieceList(found, hot_pieces(found, [i for i, k in enumerate(found.keys) if k in keys], length))
 
-    def pieces(texts: Texts, got: list[dict[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+    def pieces(texts: Texts, got: Answers) -> Iterator[tuple[int, bytes]]:
         c, repeated, hot = judged(texts, got[0])
         yield from hot_list(c, c.fragments(texts, repeated & hot), hot).asked(n)
 
-    def units(texts: Texts, got: list[dict[int, bytes]]):
+    def units(texts: Texts, got: Answers):
         """What a chunk sends, by bucket, each unit with the (fragment, first start, starts) it stands for; and flags that are known before."""
         c, repeated, hot = judged(texts, got[0])
         found = c.fragments(texts, repeated)
@@ -355,11 +355,11 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_
             out.setdefault((k * n) >> 64, []).append(((k, place, f, sum(found.counts[i] for i, *_ in owners)), owners))
         return c, found, flags, out
 
-    def send(texts: Texts, got: list[dict[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+    def send(texts: Texts, got: Answers) -> Iterator[tuple[int, bytes]]:
         for k, own in units(texts, got)[3].items():
             yield k, _sent([u for u, _ in own])
 
-    def cut(texts: Texts, got: list[dict[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    def cut(texts: Texts, got: Answers) -> Iterator[pa.RecordBatch]:
         c, found, flags, sent = units(texts, got)
         for k, own in sent.items():
             sizes = [owners[0][2] for _, owners in own]
@@ -395,9 +395,9 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_
     def reply(blobs: list[bytes]) -> list[bytes]:
         return repeats(blobs, length, shard_bytes)
 
-    repeated = answer(ask(chunks, anchors), lambda blobs: repeated_or_hot(blobs, hot_chunks), n)
-    hot = answer(ask_again(chunks, [repeated], pieces), judged_pieces, n)
-    starts = answer(ask_again(chunks, [repeated, hot], send), reply, n)
+    repeated = answer(ask(chunks, [], anchors), lambda blobs: repeated_or_hot(blobs, hot_chunks), n)
+    hot = answer(ask(chunks, [repeated], pieces), judged_pieces, n)
+    starts = answer(ask(chunks, [repeated, hot], send), reply, n)
     return finish(chunks, [repeated, hot, starts], cut, SCHEMA)
 
 

@@ -126,24 +126,41 @@ def split_sorted(keys: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, bucket_edges(n)), [len(keys)]])
 
 
-Emit = Callable[[Texts], Iterator[tuple[int, bytes]]]
-Answer = Callable[[list[bytes]], list[bytes]]
-Finish = Callable[[Texts, list[dict[int, bytes]]], Iterator[pa.RecordBatch]]
+#: One chunk's answers to each question asked before: the answer's bytes by bucket.
+Answers = list[dict[int, bytes]]
+Emit = Callable[[Texts, Answers], Iterator[tuple[int, bytes]]]
+Reply = Callable[[list[bytes]], list[bytes]]
+Finish = Callable[[Texts, Answers], Iterator[pa.RecordBatch]]
 
+ASKED = "bucket int, chunk long, blob binary"
 
-def ask(chunks: DataFrame, emit: Emit) -> DataFrame:
-    """(bucket, chunk, blob): what each chunk asks of each bucket."""
+
+def _beside(chunks: DataFrame, answers: list[DataFrame]) -> DataFrame:
+    joined = chunks.select("chunk", "payload")
+    for i, a in enumerate(answers):
+        joined = joined.join(a.withColumnRenamed("answers", f"answers{i}"), "chunk", "left")
+    return joined
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Texts, Answers]]:
+    for b in batches:
+        for i in range(len(b)):
+            got = [{x["bucket"]: x["blob"] for x in column[i].as_py() or []} for column in b.columns[2:]]
+            yield b.column(0)[i].as_py(), unpack(b.column(1)[i].as_buffer()), got
+
+
+def ask(chunks: DataFrame, answers: list[DataFrame], emit: Emit) -> DataFrame:
+    """(bucket, chunk, blob): what each chunk asks of each bucket, knowing the answers to earlier questions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for chunk, payload in zip(b.column(0), b.column(1), strict=True):
-                asked = list(emit(unpack(payload.as_buffer())))
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in asked], pa.int32()), pa.array([chunk.as_py()] * len(asked), pa.int64()), pa.array([x for _, x in asked], pa.binary())], ["bucket", "chunk", "blob"])
+        for chunk, texts, got in _each(batches):
+            asked = list(emit(texts, got))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in asked], pa.int32()), pa.array([chunk] * len(asked), pa.int64()), pa.array([x for _, x in asked], pa.binary())], ["bucket", "chunk", "blob"])
 
-    return chunks.select("chunk", "payload").mapInArrow(run, "bucket int, chunk long, blob binary")
+    return _beside(chunks, answers).mapInArrow(run, ASKED)
 
 
-def answer(asked: DataFrame, reply: Answer, n: int) -> DataFrame:
+def answer(asked: DataFrame, reply: Reply, n: int) -> DataFrame:
     """(chunk, answers array<struct<bucket, blob>>): each bucket's blobs together give one answer each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,36 +181,13 @@ def answer(asked: DataFrame, reply: Answer, n: int) -> DataFrame:
 
 
 def finish(chunks: DataFrame, answers: list[DataFrame], done: Finish, schema: str) -> DataFrame:
-    """Applies `done` to each chunk with its answers, a list of {bucket: blob}."""
-    joined = chunks.select("chunk", "payload")
-    for i, a in enumerate(answers):
-        joined = joined.join(a.withColumnRenamed("answers", f"answers{i}"), "chunk", "left")
-    count = len(answers)
+    """The rows that `done` makes of each chunk and the answers to its questions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(len(b)):
-                got = [{x["bucket"]: x["blob"] for x in b.column(2 + k)[i].as_py() or []} for k in range(count)]
-                yield from done(unpack(b.column(1)[i].as_buffer()), got)
-
-    return joined.mapInArrow(run, schema)
-
-
-def ask_again(chunks: DataFrame, answers: list[DataFrame], emit: Callable) -> DataFrame:
-    """As ask(), for an emit(texts, answers) that needs the answers to earlier questions."""
-    joined = chunks.select("chunk", "payload")
-    for i, a in enumerate(answers):
-        joined = joined.join(a.withColumnRenamed("answers", f"answers{i}"), "chunk", "left")
-    count = len(answers)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(len(b)):
-                got = [{x["bucket"]: x["blob"] for x in b.column(2 + k)[i].as_py() or []} for k in range(count)]
-                asked = list(emit(unpack(b.column(1)[i].as_buffer()), got))
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in asked], pa.int32()), pa.array([b.column(0)[i].as_py()] * len(asked), pa.int64()), pa.array([x for _, x in asked], pa.binary())], ["bucket", "chunk", "blob"])
+        for _, texts, got in _each(batches):
+            yield from done(texts, got)
 
-    return joined.mapInArrow(run, "bucket int, chunk long, blob binary")
+    return _beside(chunks, answers).mapInArrow(run, schema)
 
 
 def buckets(df: DataFrame) -> int:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Texts, answer, ask, buckets, chunk_words, chunked, finish, lower_ascii, mix64, planes, split_sorted, unplanes
+from .chunks import Answers, Texts, answer, ask, buckets, chunk_words, chunked, finish, lower_ascii, mix64, planes, split_sorted, unplanes
 from .common import saved
 
 DEPTH = 5
@@ -263,21 +263,21 @@ def score_texts(docs: DataFrame, hold_out: int = 10) -> DataFrame:
     n = buckets(docs)
     chunks = chunked(docs)
 
-    def ask_strings(texts: Texts) -> Iterator[tuple[int, bytes]]:
+    def ask_strings(texts: Texts, _: Answers) -> Iterator[tuple[int, bytes]]:
         key, count = counted(texts, ~held_out(texts, hold_out))
         order, cuts = by_bucket(key, n)
         for k in np.flatnonzero(np.diff(cuts)).tolist():
             own = order[cuts[k] : cuts[k + 1]]
             yield k, _packed(key[own], count[own], STRING_SHIFT)
 
-    def ask_words(texts: Texts) -> Iterator[tuple[int, bytes]]:
+    def ask_words(texts: Texts, _: Answers) -> Iterator[tuple[int, bytes]]:
         key, count, *_ = distinct_words(texts, ~held_out(texts, hold_out))
         cuts = split_sorted(key, n)
         for k in np.flatnonzero(np.diff(cuts)).tolist():
             own = slice(cuts[k], cuts[k + 1])
             yield k, _packed(key[own], count[own], 0)
 
-    asked_strings, asked_words = saved(ask(chunks, ask_strings)), saved(ask(chunks, ask_words))
+    asked_strings, asked_words = saved(ask(chunks, [], ask_strings)), saved(ask(chunks, [], ask_words))
     top = Top([tuple(r) for r in _by_bucket(asked_strings, n, lambda blobs: tops(*_merged(blobs, STRING_SHIFT)[:2]), "latest int, node int, zeros double, ones double, log double").groupBy("latest", "node").agg(F.sum("zeros"), F.sum("ones"), F.sum("log")).collect()])
 
     def totals(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -297,7 +297,7 @@ def score_texts(docs: DataFrame, hold_out: int = 10) -> DataFrame:
         key, count, lists = _merged(blobs, 0)
         return [planes(count[np.searchsorted(key, own)].astype(np.uint64)) for own in lists]
 
-    def done(texts: Texts, got: list[dict[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    def done(texts: Texts, got: Answers) -> Iterator[pa.RecordBatch]:
         held = held_out(texts, hold_out)
         keys, _ = counted(texts, ~held)
         order, cuts = by_bucket(keys, n)

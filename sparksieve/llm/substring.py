@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .chunks import Texts, answer, ask, ask_again, bits, buckets, chunk_words, chunked, finish, groups, mix64, multipliers, planes, split_sorted, unbits, unplanes
+from .chunks import Answers, Texts, answer, ask, bits, buckets, chunk_words, chunked, finish, groups, mix64, multipliers, planes, split_sorted, unbits, unplanes
 
 WINDOW = 13
 #: Period and residues of the difference cover (every residue modulo 7 is a difference of two of these).
@@ -133,25 +133,25 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = Tr
     n = buckets(docs)
     chunks = chunked(docs)
 
-    def anchors(texts: Texts) -> Iterator[tuple[int, bytes]]:
+    def anchors(texts: Texts, _: Answers) -> Iterator[tuple[int, bytes]]:
         keys = Chunk(texts, window).keys
         cuts = split_sorted(keys, n)
         for k in np.flatnonzero(np.diff(cuts)).tolist():
             yield k, planes(keys[cuts[k] : cuts[k + 1]], ANCHOR_BYTES)
 
-    def extended(texts: Texts, got: list[dict[int, bytes]]) -> Chunk:
+    def extended(texts: Texts, got: Answers) -> Chunk:
         c = Chunk(texts, window)
         c.candidates(_flags(got[0], split_sorted(c.keys, n)), texts.ids)
         return c
 
-    def windows(texts: Texts, got: list[dict[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+    def windows(texts: Texts, got: Answers) -> Iterator[tuple[int, bytes]]:
         c = extended(texts, got)
         cuts = split_sorted(c.one, n)
         for k in np.flatnonzero(np.diff(cuts)).tolist():
             own = slice(cuts[k], cuts[k + 1])
             yield k, planes(c.one[own]) + planes(c.two[own]) + planes(_unsigned(c.least[own]))
 
-    def cut(texts: Texts, got: list[dict[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    def cut(texts: Texts, got: Answers) -> Iterator[pa.RecordBatch]:
         c = extended(texts, got)
         gone = _flags(got[1], split_sorted(c.one, n))[c.own] | (c.id > c.least[c.own])
         starts = c.starts[gone]
@@ -175,6 +175,6 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = Tr
             ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
         )
 
-    repeated = answer(ask(chunks, anchors), repeated_keys, n)
-    elsewhere = answer(ask_again(chunks, [repeated], windows), smaller_elsewhere, n)
+    repeated = answer(ask(chunks, [], anchors), repeated_keys, n)
+    elsewhere = answer(ask(chunks, [repeated], windows), smaller_elsewhere, n)
     return finish(chunks, [repeated, elsewhere], cut, SCHEMA)
