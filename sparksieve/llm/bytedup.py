@@ -46,7 +46,7 @@ LENGTH = 400
 #: Bytes of a piece whose hash can make it an anchor.
 PIECE = 64
 #: Starts that are looked at at a time (their arrays fit a cache); bytes of fragments in a shard.
-STARTS, SHARD_BYTES = 1 << 16, 2 << 20
+STARTS, SHARD_BYTES = 1 << 16, 1 << 20
 CELL = 32
 #: Chunks that have an anchor from which on it is cut finer, and the places of its pieces.
 HOT, HOT_CELL = 32, 4
@@ -373,13 +373,13 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_
                 start[a : b + 1] = flags[f]
         step = start.astype(np.int32)
         step[length:] -= start[:-length]
-        gone = np.cumsum(step) > 0
-        removed = np.concatenate([[0], np.cumsum(gone)])
+        gone = np.cumsum(step, dtype=np.int32) > 0
+        removed = np.concatenate([np.zeros(1, np.int32), np.cumsum(gone, dtype=np.int32)])
         opens = gone.copy()
         opens[1:] &= ~gone[:-1]
         at = texts.offsets[:-1][np.diff(texts.offsets) > 0]
         opens[at] = gone[at]
-        spans = np.concatenate([[0], np.cumsum(opens)])
+        spans = np.concatenate([np.zeros(1, np.int32), np.cumsum(opens, dtype=np.int32)])
         kept = []
         for a, b in zip(texts.offsets[:-1].tolist(), texts.offsets[1:].tolist(), strict=True):
             kept.append((texts.data[a:b][~gone[a:b]] if removed[b] > removed[a] else texts.data[a:b]).tobytes())
