@@ -67,7 +67,7 @@ def runs(texts: Texts, length: int) -> tuple[np.ndarray, ...]:
     """Runs of starts with one anchor: first start, last start, anchor's place (in the chunk's bytes), and its hash."""
     data, size = texts.data, len(texts.data)
     up, down = _powers(min(size, STARTS + length) + 1)
-    ends = np.repeat(texts.offsets[1:], np.diff(texts.offsets))  # where a byte's document ends
+    ends = texts.offsets[1:]
     window = length - PIECE + 1
     found: list[list[np.ndarray]] = [[], [], [], []]
     for a in range(0, max(0, size - length + 1), STARTS):
@@ -85,7 +85,8 @@ def runs(texts: Texts, length: int) -> tuple[np.ndarray, ...]:
             reach += step
         at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
         start = np.arange(a, b)
-        fits = start + length <= ends[a:b]
+        own = ends[np.searchsorted(ends, a, "right") : np.searchsorted(ends, b - 1, "right") + 1]  # of documents with starts in [a, b)
+        fits = start + length <= np.repeat(own, np.diff(np.concatenate([[a], np.minimum(own, b)])))
         new = np.concatenate([[True], at[1:] != at[:-1]]) | np.concatenate([[True], fits[1:] != fits[:-1]])
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(at)) - 1
