@@ -14,11 +14,11 @@ the fingerprints of an anchor however many it has, with no pairs made.
 Equal fingerprints are one row before anything is compared, so a group of copies of any size costs its
 aggregation only.  Components are found in tables (components.py).
 
-similar_groups() is the same for texts that share most words rather than nearly all: LANES words of 32 bits, of
-several fingerprints of two-word shingles, each compared as above, give candidates, and exact similarity of
-five-word shingles decides.  Two texts of similarity 0.8 differ in 9 % of a fingerprint's bits or so, and then agree
-on one lane of six but for two bits with a chance over 95 % (short texts have more lanes for that); unrelated texts do so in a few of a million pairs (more
-documents need longer lanes).
+similar_groups() is for texts that share most words rather than nearly all.  Candidates are texts that agree on one of
+BANDS bands, each of ROWS least hashes of the five-word shingles (the k-th occurrence of a shingle is a shingle of its
+own), and exact similarity of these shingles decides.  A least hash agrees with a chance equal to the similarity,
+wherever the texts differ, so a pair of similarity 0.8 is missed with a chance of (1 - 0.8^6)^32, 0.006 %, be its
+difference scattered or in one piece.
 
 Cases: null and empty texts (no words) have fingerprint zero and link like any other; fewer words than a
 shingle has are one shingle; repeated rows are rows of their own; a component's id is its smallest doc_id
@@ -33,7 +33,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import mix64
@@ -166,29 +166,33 @@ def near_copies(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return marked.join(of, F.col("bits") == F.col("b")).select("doc_id", "bits", "component_id")
 
 
-#: Lanes of a document, and of one with fewer than SHORT words: a few shingles make bits that change easily.
-LANES, SHORT_LANES, SHORT = 6, 16, 40
-#: Bits of a lane; shingles of the fingerprints and of exact similarity; the least similarity.
-LANE_BITS, LANE_SHINGLE, EXACT_SHINGLE, SIMILARITY = 32, 2, 5, 0.8
+#: Bands of a document and least hashes in each; shingles of least hashes and exact similarity; the least similarity.
+BANDS, ROWS, EXACT_SHINGLE, SIMILARITY = 32, 6, 5, 0.8
+#: Shingles whose BANDS * ROWS hashes are made at a time.
+HASHED = 1 << 10
+#: Odd factors, one for each least hash.
+_FACTORS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def lanes(text: bytes) -> tuple[int, list[int]]:
-    """A hash of the text's words, and its lanes: the lane's number above, 32 bits of a fingerprint below."""
+def bands(text: bytes) -> tuple[int, int, np.ndarray]:
+    """A hash of the text's words, the number of its shingles, and a key for each band."""
     import xxhash
 
     words, one = text.lower().split(), xxhash.xxh64_intdigest
     joined = b" ".join(words)
-    ends = [*accumulate(map(len, words), lambda a, n: a + n + 1)]
+    ends = [*accumulate(map(len, words), lambda a, n: a + n + 1)] or [0]
     starts = [0, *[e + 1 for e in ends]]
-    hashes = np.array([one(joined[a:b], 42) for a, b in zip(starts, ends[LANE_SHINGLE - 1 :] or ends[-1:], strict=False)], np.uint64)
-    found = []
-    for k in range(0, LANES if len(words) >= SHORT else SHORT_LANES, 2):
-        own, count = hashes if not k else mix64(hashes + np.uint64(k)), np.zeros(64, np.int64)
-        for i in range(0, len(own), COUNTED):
-            count += np.unpackbits(own[i : i + COUNTED].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-        both = np.packbits(2 * count > len(own), bitorder="little").view(np.uint32).tolist()
-        found += [(k + j) << LANE_BITS | v for j, v in enumerate(both)]
-    return one(joined, 7) >> 1, found
+    hashes = np.sort(np.array([one(joined[a:b], 42) for a, b in zip(starts, ends[EXACT_SHINGLE - 1 :] or ends[-1:], strict=False)], np.uint64))
+    place = np.arange(len(hashes))
+    new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+    hashes = mix64(hashes + (place - np.maximum.accumulate(np.where(new, place, 0))).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    least = np.full(BANDS * ROWS, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for i in range(0, len(hashes), HASHED):
+        least = np.minimum(least, (hashes[i : i + HASHED, None] * _FACTORS).min(axis=0))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        key = mix64(key * np.uint64(0xD6E8FEB86659FD93) + column)
+    return one(joined, 7) >> 1, len(hashes), key.view(np.int64)
 
 
 def exact_similarity(a: str | None, b: str | None) -> float:
@@ -207,16 +211,16 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [lanes(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in b.column(1).cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c for c, _ in got], pa.int64()), pa.array([x for _, x in got], pa.list_(pa.int64()))], ["doc_id", "copy", "lanes"])
-
-    marked = saved(texts.mapInArrow(run, "doc_id long, copy long, lanes array<bigint>"))
-    copies = marked.groupBy("copy", "lanes").agg(F.min("doc_id").alias("least"))
-    equal = marked.join(copies, ["copy", "lanes"]).filter("doc_id > least").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
-    by_lane = copies.select(F.explode("lanes").alias("bits"), F.col("least").alias("id"))
-    first = saved(by_lane.groupBy("bits").agg(F.min("id").alias("id")))
-    shared = by_lane.join(first.withColumnRenamed("id", "v"), "bits").filter("id > v").select(F.col("id").alias("u"), "v")
-    maybe = saved(shared.unionByName(links(anchors(first, LANE_BITS), LANE_BITS)).distinct())
+            got = [bands(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in b.column(1).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c for c, *_ in got], pa.int64()), pa.array([n for _, n, _ in got], pa.int64()), pa.array([x for *_, x in got], pa.list_(pa.int64()))], ["doc_id", "copy", "size", "bands"])
+
+    marked = saved(texts.mapInArrow(run, "doc_id long, copy long, size long, bands array<bigint>"))
+    copies = marked.groupBy("copy").agg(F.min("doc_id").alias("least"))
+    equal = marked.join(copies, "copy").filter("doc_id > least").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
+    # Equal texts are one entry of a list; a list of one is none.
+    listed = marked.join(copies.select(F.col("copy").alias("c"), "least"), (F.col("copy") == F.col("c")) & (F.col("doc_id") == F.col("least"))).select(F.explode("bands").alias("list"), F.col("doc_id").alias("id"), "size")
+    leaders = listed.groupBy("list").agg(F.min(F.struct("id", "size")).alias("leader"), F.max("id").alias("most")).filter("leader.id < most").select("list", F.col("leader.id").alias("leader"), F.col("leader.size").alias("leader_size"))
+    lists = saved(listed.join(leaders, "list"))
     named = lambda side: texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"{side}_text"))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,8 +228,15 @@ def similar_groups(docs: DataFrame) -> DataFrame:
             keep = [exact_similarity(x.as_py(), y.as_py()) >= SIMILARITY for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    similar = maybe.join(named("u"), "u").join(named("v"), "v").select("u", "v", "u_text", "v_text").mapInArrow(decide, "u long, v long")
-    return components(equal.unionByName(similar)).select(F.col("node").alias("doc_id"), "root")
+    def similar(pairs: DataFrame) -> DataFrame:
+        return pairs.join(named("u"), "u").join(named("v"), "v").select("u", "v", "u_text", "v_text").mapInArrow(decide, "u long, v long")
+
+    def fit(a: str, b: str) -> Column:
+        """Whether texts with so many shingles can be similar at all."""
+        return F.least(a, b) >= F.greatest(a, b) * SIMILARITY
+
+    stars = lists.filter((F.col("id") > F.col("leader")) & fit("size", "leader_size")).select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct()
+    return components(equal.unionByName(similar(stars))).select(F.col("node").alias("doc_id"), "root")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -101,6 +101,39 @@ def test_one_of_each(spark):
     assert (None, rows[0][1]) in have and (None, None) in have
 
 
+def brute_kept(texts):
+    """Least ids of groups of similar texts, by all pairs."""
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in texts:
+        for b in texts:
+            if a < b and exact_similarity(texts[a], texts[b]) >= 0.8:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {find(i) for i in texts}
+
+
+def test_differences_in_one_piece(spark):
+    """Copies with text appended, put in front or cut off, at similarities of 0.80 to 0.90."""
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(2000)]
+    texts = {}
+    for i in range(120):
+        base = r.choices(words, k=r.choice([60, 150, 404]))
+        grams = len(base) - 4
+        more = r.choices(words, k=int(grams / r.uniform(0.8, 0.9)) - grams)
+        texts[i] = " ".join(base)
+        texts[1000 + i] = " ".join([base + more, more + base, base[: 4 + -int(-grams * r.uniform(0.81, 0.9) // 1)]][i % 3])
+    assert sum(exact_similarity(texts[i], texts[1000 + i]) >= 0.8 for i in range(120)) >= 110
+    kept = one_of_each(spark.createDataFrame([(i, t, 1, "x") for i, t in texts.items()], SCHEMA).repartition(3)).collect()
+    assert {x.doc_id for x in kept} == brute_kept(texts)
+
+
 def test_empty_table(spark):
     assert near_copies(spark.createDataFrame([], SCHEMA)).collect() == []
     assert one_of_each(spark.createDataFrame([], SCHEMA)).collect() == []
