@@ -236,7 +236,17 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         return F.least(a, b) >= F.greatest(a, b) * SIMILARITY
 
     stars = lists.filter((F.col("id") > F.col("leader")) & fit("size", "leader_size")).select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct()
-    return components(equal.unionByName(similar(stars))).select(F.col("node").alias("doc_id"), "root")
+    stars = saved(stars)
+    # A list's leader may be like none of the others: all pairs of a list that links don't join yet are compared too.
+    joined = saved(components(similar(stars)))
+    rooted = lists.join(joined, F.col("id") == F.col("node"), "left").select("list", "id", "size", F.coalesce("root", "id").alias("root"))
+    mixed = rooted.groupBy("list").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("list")
+    rest = saved(rooted.join(mixed, "list"))
+    u, v = (rest.select("list", *(F.col(c).alias(f"{side}{c}") for c in ("id", "size", "root"))) for side in "uv")
+    pairs = u.join(v, "list").filter((F.col("uid") > F.col("vid")) & (F.col("uroot") != F.col("vroot")) & fit("usize", "vsize")).select(F.col("uid").alias("u"), F.col("vid").alias("v")).distinct()
+    more = similar(pairs.join(stars, ["u", "v"], "left_anti"))
+    edges = equal.unionByName(joined.select(F.col("node").alias("u"), F.col("root").alias("v"))).unionByName(more)
+    return components(edges).select(F.col("node").alias("doc_id"), "root")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -134,6 +134,16 @@ def test_differences_in_one_piece(spark):
     assert {x.doc_id for x in kept} == brute_kept(texts)
 
 
+def test_leaders_that_are_unlike(spark):
+    """What a few similar texts share is a template that many lesser ids with longer texts of their own have too."""
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(2000)]
+    template = r.choices(words, k=160)
+    texts = {i: " ".join(template + r.choices(words, k=60 if i < 150 else 14)) for i in range(156)}
+    kept = one_of_each(spark.createDataFrame([(i, t, 1, "x") for i, t in texts.items()], SCHEMA).repartition(3)).collect()
+    assert brute_kept(texts) == set(range(151)) and {x.doc_id for x in kept} == set(range(151))
+
+
 def test_empty_table(spark):
     assert near_copies(spark.createDataFrame([], SCHEMA)).collect() == []
     assert one_of_each(spark.createDataFrame([], SCHEMA)).collect() == []
