@@ -6,7 +6,7 @@ folder and read again.
 
 1. toxicity: documents whose score reaches their language's threshold go.
 2. near_copies: of each group of similar documents (five-word shingles, 0.8 or more) the least id stays.
-3. repeated_strings: bytes covered by a 400-byte string that starts elsewhere too go; texts that lose all go.
+3. repeated_strings: passages of over 50 words, or of 400 bytes, that stand elsewhere too go; texts that lose all go.
 4. benchmark: documents that hold a passage of the benchmark go.
 5. mix: sources are brought to their weights; a document stands as often as it is taken.
 
@@ -35,7 +35,8 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def repeated_strings_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bytedup.without_repeats(docs)
+    """51 words have 101 bytes at least, with a byte between them."""
+    return bytedup.without_repeats(docs, 101, 50)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

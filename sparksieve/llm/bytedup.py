@@ -54,6 +54,7 @@ HOT, HOT_CELL = 32, 4
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text_sha256 string, kept string"
 
 _BYTE = mix64((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+_IN_WORD = ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _STEP = 0xD6E8FEB86659FD93  # odd, so that it has an inverse modulo 2^64
 
 
@@ -303,8 +304,28 @@ def repeats(blobs: list[bytes], length: int, shard_bytes: int) -> list[bytes]:
     return [bits(np.concatenate([np.zeros(0, bool), *(flags[i] for i in n)])) for n in number]
 
 
-def dedup_bytes(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, with_text: bool = True, hot_chunks: int = HOT) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, text_sha256 and kept (null without with_text)."""
+def _long_enough(texts: Texts, start: np.ndarray, length: int, words: int) -> np.ndarray:
+    """start without runs whose bytes hold `words` whole words or fewer and are fewer than LENGTH."""
+    word = _IN_WORD[texts.data]
+    edge = np.zeros(len(word) + 1, bool)
+    edge[texts.offsets] = True
+    begins = np.flatnonzero(word & (edge[:-1] | ~np.concatenate([[False], word[:-1]])))
+    ends = np.flatnonzero(word & (edge[1:] | ~np.concatenate([word[1:], [False]]))) + 1
+    step = np.diff(np.concatenate([[0], start.astype(np.int8), [0]]))
+    first, stop = np.flatnonzero(step == 1), np.flatnonzero(step == -1) + length - 1
+    short = (np.searchsorted(ends, stop, "right") - np.searchsorted(begins, first) <= words) & (stop - first < LENGTH)
+    out = start.copy()
+    for a, b in zip(first[short].tolist(), stop[short].tolist(), strict=True):
+        out[a : b - length + 1] = False
+    return out
+
+
+def dedup_bytes(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, with_text: bool = True, hot_chunks: int = HOT, words: int = 0) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, text_sha256 and kept (null without with_text).
+
+    With words, repeated passages (runs of starts, with the bytes they cover) of that many words or fewer stay if they
+    are shorter than LENGTH.
+    """
     if length <= PIECE:
         raise ValueError(f"length must be over {PIECE}")
     n = buckets(docs)
@@ -372,6 +393,8 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_
         for a, b, f in zip(c.first[found.runs].tolist(), c.last[found.runs].tolist(), found.number.tolist(), strict=True):
             if some[f]:
                 start[a : b + 1] = flags[f]
+        if words:
+            start = _long_enough(texts, start, length, words)
         step = start.astype(np.int32)
         step[length:] -= start[:-length]
         gone = np.cumsum(step, dtype=np.int32) > 0
@@ -402,13 +425,13 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_
     return finish(chunks, [repeated, hot, starts], cut, SCHEMA)
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with repeated strings cut out of their texts; texts that lose all their bytes go.
+def without_repeats(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
+    """docs with repeated strings (see dedup_bytes) cut out of their texts; texts that lose all their bytes go.
 
     Columns stay as they are but for text, and n_chars where there is one.  Only texts that lose something are joined
     to what is left of them; rows are told by id and digest, so repeated rows lose the same.
     """
-    found = dedup_bytes(docs, length).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"), F.col("kept").alias("_kept")).distinct()
+    found = dedup_bytes(docs, length, words=words).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"), F.col("kept").alias("_kept")).distinct()
     keyed = docs.withColumn("_of", F.sha2("text", 256))
     joined = keyed.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_digest")), "left")
     kept = joined.filter("_kept is null or _kept <> ''")

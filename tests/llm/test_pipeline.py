@@ -100,6 +100,23 @@ def test_stages(spark, sf_dir, tmp_path):
     assert {r.copy for r in rows["mix"]} <= {1, 2, 3}
 
 
+def test_passages_of_over_fifty_words(spark):
+    """Passages of 51 to 60 words in otherwise different texts go, of 40 words they stay, whatever their words' lengths."""
+    r = random.Random(13)
+    own = lambda: " ".join(f"{r.getrandbits(30):x}" for _ in range(80))
+    rows, want = [], {}
+    for n, size in ((51, 1), (51, 3), (55, 5), (60, 5), (40, 5), (40, 7), (50, 4)):
+        for _ in range(3):
+            passage = " ".join("".join(r.choices("abcdefghij", k=size)) for _ in range(n))
+            for _ in range(2):
+                a, b, i = own(), own(), len(rows)
+                rows.append((i, f"{a} {passage} {b}", "en", "a", 1))
+                want[i] = passage if n <= 50 else None
+    got = {x.doc_id: x.text for x in corpus_pipeline.repeated_strings_stage(spark, spark.createDataFrame(rows, SCHEMA).repartition(2), "").collect()}
+    for i, text, *_ in rows:
+        assert got[i] == text if want[i] else len(got[i]) < len(text) - 100, (i, want[i])
+
+
 def test_run(spark, sf_dir):
     first, again = (sorted((r.doc_id, r.copy, r.text) for r in corpus_pipeline.run(spark, sf_dir).collect()) for _ in range(2))
     assert first == again and first
