@@ -11,16 +11,29 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores after those that df has a column of already (in any case of letters)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the checkpoint folder the cluster names; set one only where none is (tests, one machine)."""
+    """Keep the checkpoint folder the cluster names; set one only where none is, on one machine (tests)."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir names no folder that the executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
 
 

@@ -14,7 +14,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.remainder(F.col("label_id"), 4) != 2)
     held_out = (toxicity.remainder(F.col("doc_id"), 4) == 2).alias("held_out")
-    return toxicity.score(docs, model).select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "threshold", "rejected")
+    return toxicity.score(docs, model).rows.select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "threshold", "rejected")
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
