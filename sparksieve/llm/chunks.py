@@ -257,6 +257,22 @@ def chunk_words(texts: Texts, lower: bool = False) -> tuple[np.ndarray, np.ndarr
     return hash_words(data, starts, ends, 0x5EED), np.searchsorted(starts, texts.offsets)
 
 
+def shingle_hashes(word: np.ndarray, begin: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the texts' shingles, and where each text's begin; word: hashes of words, begin: where each text's words begin, both with one more at the end.
+
+    A text with fewer words than a shingle has one of all of them; one without words has none.
+    """
+    n = np.diff(begin)
+    count = np.where(n >= shingle, n - shingle + 1, np.minimum(n, 1))
+    first = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
+    at = np.arange(first[-1]) - np.repeat(first[:-1], count) + np.repeat(begin[:-1], count)
+    end = np.repeat(begin[1:], count)
+    total = np.zeros(len(at), np.uint64)
+    for t, m in enumerate(multipliers(shingle, 4)):
+        total += np.where(at + t < end, word[np.minimum(at + t, max(0, len(word) - 1))] * m, np.uint64(t)) if len(word) else np.uint64(0)
+    return mix64(total), first
+
+
 def multipliers(n: int, seed: int) -> np.ndarray:
     """n odd 64-bit numbers for sums of hashes."""
     return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)

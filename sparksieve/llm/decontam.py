@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import hash_words, mix64, multipliers, words_of
+from .chunks import hash_words, shingle_hashes, words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bytes of item texts in a block of the benchmark, at most (one item may be larger).
@@ -64,16 +64,7 @@ def shingles(texts: pa.Array) -> Shingles:
     starts, ends = words_of(data, cuts, _OUTSIDE)
     word = hash_words(data, starts, ends, 0xDEC0)
     begin = np.searchsorted(starts, cuts)
-    n = np.diff(begin)
-    count = np.where(n >= SHINGLE, n - SHINGLE + 1, np.minimum(n, 1))
-    first = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
-    at = np.arange(first[-1]) - np.repeat(first[:-1], count) + np.repeat(begin[:-1], count)
-    end = np.repeat(begin[1:], count)
-    total = np.zeros(len(at), np.uint64)
-    for t, m in enumerate(multipliers(SHINGLE, 4)):
-        inside = at + t < end
-        total += np.where(inside, word[np.minimum(at + t, max(0, len(word) - 1))] * m, np.uint64(t)) if len(word) else np.uint64(0)
-    return Shingles(mix64(total), first, n)
+    return Shingles(*shingle_hashes(word, begin, SHINGLE), np.diff(begin))
 
 
 def simhash(bits: np.ndarray) -> np.ndarray:

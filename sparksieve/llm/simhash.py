@@ -14,15 +14,18 @@ the fingerprints of an anchor however many it has, with no pairs made.
 Equal fingerprints are one row before anything is compared, so a group of copies of any size costs its
 aggregation only.  Components are found in tables (components.py).
 
-similar_groups() is for texts that share most words rather than nearly all.  Candidates are texts that agree on one of
-BANDS bands, each of ROWS least hashes of the five-word shingles (the k-th occurrence of a shingle is a shingle of its
-own), and exact similarity of these shingles decides.  A least hash agrees with a chance equal to the similarity,
-wherever the texts differ, so a pair of similarity 0.8 is missed with a chance of (1 - 0.8^6)^32, 0.006 %, be its
-difference scattered or in one piece.
-
-Cases: null and empty texts (no words) have fingerprint zero and link like any other; fewer words than a
-shingle has are one shingle; repeated rows are rows of their own; a component's id is its smallest doc_id
-that is not null, or null if all are; extra columns are left out; no rows give no rows.
+similar_groups() is for texts that share most words rather than nearly all: five-word shingles, similarity 0.8 or
+more.  SimHash links of these shingles give the first candidates.  At similarity 0.8 fingerprints differ in more bits
+than anchors can cover, so texts that agree on one of BANDS bands are candidates too, each band being ROWS least hashes
+of the shingles (the k-th occurrence of a shingle is a shingle of its own); exact similarity decides about all.  A
+least hash agrees with a chance equal to the similarity, wherever the texts differ, so a pair of similarity 0.8 is
+missed with a chance of (1 - 0.8^5)^20, 0.035 %, be its difference scattered or in one piece.  Only digests, bands
+and the texts of candidates are shuffled.
+
+Cases: null and empty texts (no words) have fingerprint zero and link like any other, and are copies of each other;
+fewer words than a shingle has are one shingle; repeated rows are rows of their own (one_of_each() keeps one); a
+component's id is its smallest doc_id that is not null, or null if all are; extra columns are left out (one_of_each()
+keeps all, whatever their names); no rows give no rows.
 """
 
 from __future__ import annotations
@@ -33,11 +36,11 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import mix64
-from .common import saved, shuffle_partitions
+from .chunks import groups, hash_words, mix64, shingle_hashes, words_of
+from .common import fresh, saved, shuffle_partitions
 from .components import components
 
 #: Shingles whose bits are counted at a time.
@@ -166,33 +169,77 @@ def near_copies(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return marked.join(of, F.col("bits") == F.col("b")).select("doc_id", "bits", "component_id")
 
 
-#: Bands of a document and least hashes in each; shingles of least hashes and exact similarity; the least similarity.
-BANDS, ROWS, EXACT_SHINGLE, SIMILARITY = 32, 6, 5, 0.8
-#: Shingles whose BANDS * ROWS hashes are made at a time.
-HASHED = 1 << 10
-#: Odd factors, one for each least hash.
-_FACTORS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+#: Bands of a document and least hashes in each; words of a shingle, and the least similarity.
+BANDS, ROWS, SHINGLE, SIMILARITY = 20, 5, 5, 0.8
+#: Bytes of text whose words are hashed at a time; shingles whose BANDS * ROWS hashes are made at a time.
+READ, HASHED = 1 << 18, 1 << 11
+#: Leaders that each list compares its texts with in a round.
+LEADERS = 16
 
+MARKS = "doc_id long, raw string, copy binary, size long, print long, bands array<bigint>"
 
-def bands(text: bytes) -> tuple[int, int, np.ndarray]:
-    """A hash of the text's words, the number of its shingles, and a key for each band."""
-    import xxhash
 
-    words, one = text.lower().split(), xxhash.xxh64_intdigest
-    joined = b" ".join(words)
-    ends = [*accumulate(map(len, words), lambda a, n: a + n + 1)] or [0]
-    starts = [0, *[e + 1 for e in ends]]
-    hashes = np.sort(np.array([one(joined[a:b], 42) for a, b in zip(starts, ends[EXACT_SHINGLE - 1 :] or ends[-1:], strict=False)], np.uint64))
-    place = np.arange(len(hashes))
-    new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
-    hashes = mix64(hashes + (place - np.maximum.accumulate(np.where(new, place, 0))).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    least = np.full(BANDS * ROWS, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    for i in range(0, len(hashes), HASHED):
-        least = np.minimum(least, (hashes[i : i + HASHED, None] * _FACTORS).min(axis=0))
+def _numbered(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Hashes in which the k-th occurrence of a shingle in its document is one of its own; a document's stay together."""
+    order = np.lexsort((hashes, doc))
+    h, d = hashes[order], doc[order]
+    place = np.arange(len(h))
+    new = groups(h) | groups(d)
+    return mix64(h + (place - np.maximum.accumulate(np.where(new, place, 0))).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of a text's (numbered) shingles."""
+    low = hashes.astype(np.uint32)
+    factors = (mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(low), HASHED):
+        np.minimum(least, (low[i : i + HASHED, None] * factors).min(axis=0), out=least)
     key = np.arange(BANDS, dtype=np.uint64)
     for column in least.reshape(BANDS, ROWS).T:
         key = mix64(key * np.uint64(0xD6E8FEB86659FD93) + column)
-    return one(joined, 7) >> 1, len(hashes), key.view(np.int64)
+    return key.view(np.int64)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    count = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), COUNTED):
+        count += np.unpackbits(hashes[i : i + COUNTED].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return int(np.packbits(2 * count > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def marks(texts: list[bytes]) -> Iterator[tuple[bytes, int, int, np.ndarray]]:
+    """Of each text: a digest of its words, the number of its shingles, their SimHash, and the keys of its bands."""
+    import xxhash
+
+    i = 0
+    while i < len(texts):
+        j, size = i, 0
+        while j < len(texts) and (j == i or size + len(texts[j]) <= READ):
+            size += len(texts[j])
+            j += 1
+        part = [t.lower() for t in texts[i:j]]
+        cuts = np.concatenate([[0], np.cumsum([len(t) for t in part])]).astype(np.int64)
+        data = np.frombuffer(b"".join(part), np.uint8)
+        starts, ends = words_of(data, cuts)
+        hashes, first = shingle_hashes(hash_words(data, starts, ends, 0x51A5), np.searchsorted(starts, cuts), SHINGLE)
+        numbered = _numbered(hashes, np.repeat(np.arange(len(part)), np.diff(first)))
+        for k, t in enumerate(part):
+            a, b = int(first[k]), int(first[k + 1])
+            yield xxhash.xxh3_128_digest(b" ".join(t.split())), b - a, _majority(hashes[a:b]), band_keys(numbered[a:b])
+        i = j
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> MARKS; raw is the text's own digest, copy that of its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = list(marks([t.as_buffer().to_pybytes() if t.is_valid else b"" for t in b.column(2).cast(pa.large_binary())]))
+            columns = [pa.array([x[k] for x in got], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns, pa.array([x[3] for x in got], pa.list_(pa.int64()))], ["doc_id", "raw", "copy", "size", "print", "bands"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("raw"), "text").mapInArrow(run, MARKS)
 
 
 def exact_similarity(a: str | None, b: str | None) -> float:
@@ -200,59 +247,104 @@ def exact_similarity(a: str | None, b: str | None) -> float:
     bags = []
     for t in (a, b):
         words = (t or "").encode().lower().split()
-        bags.append(Counter(tuple(words[i : i + EXACT_SHINGLE]) for i in range(max(1, len(words) - EXACT_SHINGLE + 1))))
+        bags.append(Counter(tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))))
     shared = sum((bags[0] & bags[1]).values())
     return shared / (sum(bags[0].values()) + sum(bags[1].values()) - shared)
 
 
-def similar_groups(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, root): documents that are copies of others, or similar, but not the least of their group."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [bands(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in b.column(1).cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c for c, *_ in got], pa.int64()), pa.array([n for _, n, _ in got], pa.int64()), pa.array([x for *_, x in got], pa.list_(pa.int64()))], ["doc_id", "copy", "size", "bands"])
-
-    marked = saved(texts.mapInArrow(run, "doc_id long, copy long, size long, bands array<bigint>"))
-    copies = marked.groupBy("copy").agg(F.min("doc_id").alias("least"))
-    equal = marked.join(copies, "copy").filter("doc_id > least").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
-    # Equal texts are one entry of a list; a list of one is none.
-    listed = marked.join(copies.select(F.col("copy").alias("c"), "least"), (F.col("copy") == F.col("c")) & (F.col("doc_id") == F.col("least"))).select(F.explode("bands").alias("list"), F.col("doc_id").alias("id"), "size")
-    leaders = listed.groupBy("list").agg(F.min(F.struct("id", "size")).alias("leader"), F.max("id").alias("most")).filter("leader.id < most").select("list", F.col("leader.id").alias("leader"), F.col("leader.size").alias("leader_size"))
-    lists = saved(listed.join(leaders, "list"))
-    named = lambda side: texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"{side}_text"))
+def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose texts(node, text) are similar."""
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = [exact_similarity(x.as_py(), y.as_py()) >= SIMILARITY for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    def similar(pairs: DataFrame) -> DataFrame:
-        return pairs.join(named("u"), "u").join(named("v"), "v").select("u", "v", "u_text", "v_text").mapInArrow(decide, "u long, v long")
+    side = lambda k: texts.select(F.col("node").alias(k), F.col("text").alias(f"{k}_text"))
+    return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "u_text", "v_text").mapInArrow(decide, "u long, v long")
 
-    def fit(a: str, b: str) -> Column:
-        """Whether texts with so many shingles can be similar at all."""
-        return F.least(a, b) >= F.greatest(a, b) * SIMILARITY
 
-    stars = lists.filter((F.col("id") > F.col("leader")) & fit("size", "leader_size")).select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct()
-    stars = saved(stars)
-    # A list's leader may be like none of the others: all pairs of a list that links don't join yet are compared too.
-    joined = saved(components(similar(stars)))
-    rooted = lists.join(joined, F.col("id") == F.col("node"), "left").select("list", "id", "size", F.coalesce("root", "id").alias("root"))
-    mixed = rooted.groupBy("list").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("list")
-    rest = saved(rooted.join(mixed, "list"))
-    u, v = (rest.select("list", *(F.col(c).alias(f"{side}{c}") for c in ("id", "size", "root"))) for side in "uv")
-    pairs = u.join(v, "list").filter((F.col("uid") > F.col("vid")) & (F.col("uroot") != F.col("vroot")) & fit("usize", "vsize")).select(F.col("uid").alias("u"), F.col("vid").alias("v")).distinct()
-    more = similar(pairs.join(stars, ["u", "v"], "left_anti"))
-    edges = equal.unionByName(joined.select(F.col("node").alias("u"), F.col("root").alias("v"))).unionByName(more)
-    return components(edges).select(F.col("node").alias("doc_id"), "root")
+def _compared(lists: DataFrame, texts: DataFrame) -> DataFrame:
+    """lists(list, node, size) -> (node, root): nodes joined by similar pairs of a list, roots left out.
+
+    A list whose nodes are all of one component is done.  In each round, LEADERS nodes of every other list (those whose
+    component has the fewest nodes there) meet the list's nodes of other components, and leave it.  So a round makes
+    rows in proportion to the lists' sizes, and every pair of a list has met, or is joined by others, at the end.
+    """
+    fit = F.least("size", "lead_size") >= F.greatest("size", "lead_size") * SIMILARITY
+    now = lists.select("list", "node", "size", F.col("node").alias("root"))
+    roots, met = None, None
+    while True:
+        share = now.groupBy("list", "root").agg(F.count("*").alias("share"))
+        mixed = share.groupBy("list").agg(F.count("*").alias("n")).filter("n > 1").select("list")
+        now = saved(now.join(mixed, "list"))
+        if now.isEmpty():
+            break
+        rank = F.min(F.struct("share", "root", "node", "size"))
+        leaders = saved(now.join(share, ["list", "root"]).groupBy("list", F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("part")).agg(rank.alias("r")).select("list", F.col("r.node").alias("lead"), F.col("r.root").alias("lead_root"), F.col("r.size").alias("lead_size")))
+        meet = now.join(leaders, "list").filter((F.col("root") != F.col("lead_root")) & fit)
+        pairs = meet.select(F.greatest("node", "lead").alias("u"), F.least("node", "lead").alias("v")).distinct()
+        pairs = saved(pairs if met is None else pairs.join(met, ["u", "v"], "left_anti"))
+        met = pairs if met is None else met.unionByName(pairs)
+        found = saved(_similar(pairs, texts))
+        now = now.join(leaders.select("list", F.col("lead").alias("node")), ["list", "node"], "left_anti")
+        if found.isEmpty():
+            continue
+        if roots is None:
+            roots = components(found)
+        else:
+            # Links are between components found before: only their roots are joined.
+            named = roots.withColumnsRenamed({"node": "n", "root": "r"})
+            for k in ("u", "v"):
+                found = found.join(named, F.col(k) == F.col("n"), "left").withColumn(k, F.coalesce("r", k)).drop("n", "r")
+            more = saved(components(found)).withColumnsRenamed({"node": "n", "root": "r"})
+            old = roots.join(more, F.col("root") == F.col("n"), "left").select("node", F.coalesce("r", "root").alias("root"))
+            roots = old.unionByName(more.select(F.col("n").alias("node"), F.col("r").alias("root")))
+        roots = saved(roots)
+        now = now.drop("root").join(roots, "node", "left").select("list", "node", "size", F.coalesce("root", "node").alias("root"))
+    return lists.select("node", F.col("node").alias("root")).limit(0) if roots is None else roots
+
+
+def similar_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs(doc_id, text) -> (doc_id, raw) of the rows that are copies of others, or similar, but not their group's first; and of the rows that are there several times.
+
+    Texts with the same words are one node, whose size in rows doesn't matter from then on.  Candidates are lists of
+    nodes: those of a component of SimHash links (of five-word shingles), and those that agree on a band.
+    """
+    rows = saved(marked(docs))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw", "size", "print", "bands")
+    nodes = saved(rows.groupBy("copy").agg(F.min(order).alias("first")).select("copy", "first.*").withColumn("node", F.monotonically_increasing_id()))
+    prints = nodes.select("print").distinct()
+    near = components(links(anchors(prints.select(F.col("print").alias("bits"), F.col("print").alias("id")))))
+    by_print = nodes.join(near.withColumnsRenamed({"node": "n", "root": "r"}), F.col("print") == F.col("n"), "left").select(F.xxhash64(F.coalesce("r", "print"), F.lit("SimHash")).alias("list"), "node", "size")
+    every = nodes.select(F.explode("bands").alias("list"), "node", "size").unionByName(by_print)
+    several = every.groupBy("list").agg(F.count("*").alias("n")).filter("n > 1").select("list")
+    lists = saved(every.join(several, "list"))
+    wanted = nodes.join(lists.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("id"), F.col("raw").alias("of"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("raw"), "text")
+    texts = saved(own.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("raw").eqNullSafe(F.col("of"))).select("node", "text").dropDuplicates(["node"]))
+    roots = _compared(lists, texts)
+    named = nodes.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("copy", "none", "doc_id", "raw", F.coalesce("root", "node").alias("root"))
+    first = named.groupBy("root").agg(F.min(F.struct("none", "doc_id", "raw")).alias("first"))
+    of = named.select(F.col("copy").alias("c"), "root").join(first, "root").select("c", F.col("first.doc_id").alias("id"), F.col("first.raw").alias("of"))
+    gone = rows.join(of, F.col("copy") == F.col("c")).filter(~(F.col("doc_id").eqNullSafe(F.col("id")) & F.col("raw").eqNullSafe(F.col("of"))))
+    often = rows.groupBy("doc_id", "raw").agg(F.count("*").alias("n")).filter("n > 1")
+    return gone.select("doc_id", "raw").distinct(), often.select("doc_id", "raw")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without those that are similar to a document that stays; all columns as they are.
 
-    Of a group the document with the least id stays, once if its row is repeated.  Rows without an id stay.
+    Of a group the document with the least id stays (a null id is the largest; then the least digest), once if its row
+    is there several times.
     """
-    gone = similar_groups(docs).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    gone, often = similar_groups(docs)
+    often = saved(often)
+    raw, i, d = fresh(docs, "raw", "i", "d")
+    keyed = docs.withColumn(raw, F.md5("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & F.col(raw).eqNullSafe(F.col(d))
+    kept = keyed.join(gone.toDF(i, d), same, "left_anti")
+    if not often.isEmpty():
+        once = kept.join(often.toDF(i, d), same, "left_semi").dropDuplicates(["doc_id", raw])
+        kept = kept.join(often.toDF(i, d), same, "left_anti").unionByName(once)
+    return kept.select(*docs.columns)

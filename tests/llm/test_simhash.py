@@ -97,8 +97,17 @@ def test_one_of_each(spark):
     for a, b in near:
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
-    assert ids - {None} == {find(i) for i in distinct}
-    assert (None, rows[0][1]) in have and (None, None) in have
+    assert ids == {find(i) for i in distinct}  # rows without an id are copies of others here
+
+
+def test_rows_without_ids_and_ids_of_several_texts(spark):
+    """A null id is the largest; of two rows with one id each goes by its own text; columns named like those used inside stay."""
+    schema = "doc_id long, text string, raw string, i long, d string, node long, copy string, list long, root long"
+    long = "one two three four five six seven eight"
+    rows = [(None, "alone here"), (None, long), (5, long.upper()), (7, "other words of it"), (7, long), (None, "alone  HERE"), (9, "alone here too many words to be like it"), (9, "alone here too many words to be like it")]
+    got = one_of_each(spark.createDataFrame([(i, t, f"r{k}", k, "d", k, "c", k, k) for k, (i, t) in enumerate(rows)], schema).repartition(3)).collect()
+    assert sorted(((x.doc_id, x.text) for x in got), key=repr) == sorted([rows[5], rows[2], rows[3], rows[6]] if (rows[5] in [(x.doc_id, x.text) for x in got]) else [rows[0], rows[2], rows[3], rows[6]], key=repr)
+    assert all((x.raw, x.i, x.d, x.copy) == (f"r{x.node}", x.node, "d", "c") and x.list == x.root == x.node for x in got)
 
 
 def brute_kept(texts):
