@@ -27,7 +27,8 @@ from sparksieve.llm.common import ensure_checkpoint_dir, table, word_count
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from labelled rows but those whose id's crc32 is 2 modulo 4, which stay for measuring."""
     model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), toxicity.remainder(F.col("label_id"), 4) != 2)
-    return toxicity.score(docs, model).filter("not rejected").select(*docs.columns)
+    scored = toxicity.score(docs, model)
+    return scored.rows.filter(~F.col(scored.rejected)).select(*docs.columns)
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
