@@ -19,8 +19,8 @@ more.  SimHash links of these shingles give the first candidates.  At similarity
 than anchors can cover, so texts that agree on one of BANDS bands are candidates too, each band being ROWS least hashes
 of the shingles (the k-th occurrence of a shingle is a shingle of its own); exact similarity decides about all.  A
 least hash agrees with a chance equal to the similarity, wherever the texts differ, so a pair of similarity 0.8 is
-missed with a chance of (1 - 0.8^5)^20, 0.035 %, be its difference scattered or in one piece.  Only digests, bands
-and the texts of candidates are shuffled.
+missed with a chance of (1 - 0.8^5)^20, 0.035 %, be its difference scattered or in one piece.  Lists of candidates are
+compared whole, by products of 0-1 matrices of shingles (64-bit hashes), without a row for a pair.
 
 Cases: null and empty texts (no words) have fingerprint zero and link like any other, and are copies of each other;
 fewer words than a shingle has are one shingle; repeated rows are rows of their own (one_of_each() keeps one); a
@@ -173,8 +173,8 @@ def near_copies(docs: DataFrame, shingle: int = 3) -> DataFrame:
 BANDS, ROWS, SHINGLE, SIMILARITY = 20, 5, 5, 0.8
 #: Bytes of text whose words are hashed at a time; shingles whose BANDS * ROWS hashes are made at a time.
 READ, HASHED = 1 << 18, 1 << 11
-#: Leaders that each list compares its texts with in a round.
-LEADERS = 16
+#: Shingles of a list's texts that are compared in one task; shingles that are compared at a time.
+LIST, COLUMNS = 1 << 21, 1 << 11
 
 MARKS = "doc_id long, raw string, copy binary, size long, print long, bands array<bigint>"
 
@@ -252,57 +252,127 @@ def exact_similarity(a: str | None, b: str | None) -> float:
     return shared / (sum(bags[0].values()) + sum(bags[1].values()) - shared)
 
 
-def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose texts(node, text) are similar."""
+def shingled(texts: DataFrame) -> DataFrame:
+    """(node, text) -> (node, shingles binary): sorted hashes of the text's (numbered) shingles."""
 
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = [exact_similarity(x.as_py(), y.as_py()) >= SIMILARITY for x, y in zip(b.column(2), b.column(3), strict=True)]
-            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            got = []
+            for t in b.column(1).cast(pa.large_binary()):
+                text = np.frombuffer((t.as_buffer().to_pybytes() if t.is_valid else b"").lower(), np.uint8)
+                starts, ends = words_of(text, np.array([0, len(text)]))
+                hashes, _ = shingle_hashes(hash_words(text, starts, ends, 0x51A5), np.array([0, len(starts)]), SHINGLE)
+                got.append(np.sort(_numbered(hashes, np.zeros(len(hashes), np.int64))).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], ["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles binary")
+
+
+def _shared(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each of one and each of other have in common."""
+    out = np.zeros((len(one), len(other)), np.float32)
+    token, column = np.unique(np.concatenate([*one, *other]), return_inverse=True)
+    row = np.repeat(np.arange(len(one) + len(other)), [len(x) for x in (*one, *other)])
+    again = np.bincount(column, minlength=len(token)) > 1  # what stands once is shared by none
+    place = (np.cumsum(again) - 1)[column]
+    keep = again[column]
+    row, place = row[keep], place[keep]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    for k in range(0, int(again.sum()), COLUMNS):
+        own = slice(*np.searchsorted(place, [k, k + COLUMNS]))
+        part = np.zeros((len(one) + len(other), COLUMNS), np.float32)
+        part[row[own], place[own] - k] = 1
+        out += part[: len(one)] @ part[len(one) :].T
+    return out
+
 
-    side = lambda k: texts.select(F.col("node").alias(k), F.col("text").alias(f"{k}_text"))
-    return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "u_text", "v_text").mapInArrow(decide, "u long, v long")
+def _classes(nodes: list[int], first: list[bool], shingles: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join the similar texts of a list: those marked first are compared with all (and with each other)."""
+    leads = [i for i, f in enumerate(first) if f]
+    size = np.array([len(x) for x in shingles], np.float64)
+    shared = _shared([shingles[i] for i in leads], shingles)
+    alike = shared / np.maximum(size[leads][:, None] + size[None, :] - shared, 1) >= SIMILARITY
+    label = np.array(nodes, np.int64)
+    own = np.array(leads)
+    while True:  # the least node of the component, by links of the leads
+        least = np.where(alike, label[None, :], label[own][:, None]).min(axis=1)
+        label_new = np.minimum(label, np.where(alike, least[:, None], label[None, :]).min(axis=0)) if len(own) else label
+        if (label_new == label).all():
+            return [(n, int(x)) for n, x in zip(nodes, label, strict=True) if n != x]
+        label = label_new
 
 
-def _compared(lists: DataFrame, texts: DataFrame) -> DataFrame:
-    """lists(list, node, size) -> (node, root): nodes joined by similar pairs of a list, roots left out.
+def _linked(entries: DataFrame, sets: DataFrame) -> DataFrame:
+    """entries(list, part, node, first), sets(node, shingles) -> (u, v) that join the similar texts of each (list, part)."""
+    n = shuffle_partitions(entries.sparkSession)
 
-    A list whose nodes are all of one component is done.  In each round, LEADERS nodes of every other list (those whose
-    component has the fewest nodes there) meet the list's nodes of other components, and leave it.  So a round makes
-    rows in proportion to the lists' sizes, and every pair of a list has met, or is joined by others, at the end.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, []
+
+        def done() -> pa.RecordBatch:
+            nodes: dict[int, list] = {}
+            for node, first, x in rows:
+                nodes.setdefault(node, [False, x])[0] |= first
+            got = _classes([*nodes], [f for f, _ in nodes.values()], [np.frombuffer(x, np.uint64) for _, x in nodes.values()])
+            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in got], pa.int64()), pa.array([v for _, v in got], pa.int64())], ["u", "v"])
+
+        for b in batches:  # sorted by list and part
+            for key, part, node, first, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (key, part) != at and rows:
+                    yield done()
+                    rows = []
+                at = key, part
+                rows.append((node, first, x))
+        if rows:
+            yield done()
+
+    dealt = entries.join(sets, "node").select("list", "part", "node", "first", "shingles").repartition(n, "list", "part").sortWithinPartitions("list", "part")
+    return dealt.mapInArrow(run, "u long, v long")
+
+
+def compared(lists: DataFrame, sets: DataFrame, most: int = LIST) -> DataFrame:
+    """lists(list, node, size), sets(node, shingles) -> (u, v) that join the similar texts of every list.
+
+    A list of `most` shingles or fewer is compared in one task.  A larger one first meets its leader, the node that
+    stands in the largest lists; a copy of a common source usually is like that.  Those that are unlike the leader are
+    dealt into blocks, and each block meets all of the list, in blocks too.
     """
-    fit = F.least("size", "lead_size") >= F.greatest("size", "lead_size") * SIMILARITY
-    now = lists.select("list", "node", "size", F.col("node").alias("root"))
-    roots, met = None, None
-    while True:
-        share = now.groupBy("list", "root").agg(F.count("*").alias("share"))
-        mixed = share.groupBy("list").agg(F.count("*").alias("n")).filter("n > 1").select("list")
-        now = saved(now.join(mixed, "list"))
-        if now.isEmpty():
-            break
-        rank = F.min(F.struct("share", "root", "node", "size"))
-        leaders = saved(now.join(share, ["list", "root"]).groupBy("list", F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("part")).agg(rank.alias("r")).select("list", F.col("r.node").alias("lead"), F.col("r.root").alias("lead_root"), F.col("r.size").alias("lead_size")))
-        meet = now.join(leaders, "list").filter((F.col("root") != F.col("lead_root")) & fit)
-        pairs = meet.select(F.greatest("node", "lead").alias("u"), F.least("node", "lead").alias("v")).distinct()
-        pairs = saved(pairs if met is None else pairs.join(met, ["u", "v"], "left_anti"))
-        met = pairs if met is None else met.unionByName(pairs)
-        found = saved(_similar(pairs, texts))
-        now = now.join(leaders.select("list", F.col("lead").alias("node")), ["list", "node"], "left_anti")
-        if found.isEmpty():
-            continue
-        if roots is None:
-            roots = components(found)
-        else:
-            # Links are between components found before: only their roots are joined.
-            named = roots.withColumnsRenamed({"node": "n", "root": "r"})
-            for k in ("u", "v"):
-                found = found.join(named, F.col(k) == F.col("n"), "left").withColumn(k, F.coalesce("r", k)).drop("n", "r")
-            more = saved(components(found)).withColumnsRenamed({"node": "n", "root": "r"})
-            old = roots.join(more, F.col("root") == F.col("n"), "left").select("node", F.coalesce("r", "root").alias("root"))
-            roots = old.unionByName(more.select(F.col("n").alias("node"), F.col("r").alias("root")))
-        roots = saved(roots)
-        now = now.drop("root").join(roots, "node", "left").select("list", "node", "size", F.coalesce("root", "node").alias("root"))
-    return lists.select("node", F.col("node").alias("root")).limit(0) if roots is None else roots
+    facts = lists.groupBy("list").agg(F.count("*").alias("n"), F.sum(F.col("size") + 1).alias("weight"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("n > 1")
+    # Lists of the same nodes are compared once.
+    facts = saved(facts.groupBy("n", "weight", "x", "lo", "hi").agg(F.min("list").alias("list")).select("list", "n", "weight"))
+    small = lists.join(facts.filter(F.col("weight") <= most).select("list"), "list").select("list", F.lit(0).alias("part"), "node", F.lit(True).alias("first"))
+    found = _linked(small, sets)
+    large = facts.filter(F.col("weight") > most)
+    if large.isEmpty():
+        return found
+    own = saved(lists.join(large, "list"))
+    degree = own.groupBy("node").agg(F.sum("n").alias("degree"))
+    leader = own.join(degree, "node").groupBy("list").agg(F.max(F.struct("degree", -F.col("node"))).alias("d")).select("list", (-F.col("d.col2")).alias("lead"))
+    pairs = own.join(leader, "list").filter("node <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v")).distinct()
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                one, other = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                shared = len(one) + len(other) - len(np.union1d(one, other))
+                keep.append(shared / max(1, len(one) + len(other) - shared) >= SIMILARITY)
+            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda k: sets.select(F.col("node").alias(k), F.col("shingles").alias(f"{k}_shingles"))
+    stars = saved(pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "u_shingles", "v_shingles").mapInArrow(decide, "u long, v long"))
+    like = leader.join(stars, F.col("lead") == F.col("v")).select("list", F.col("u").alias("node"))
+    strays = own.join(like, ["list", "node"], "left_anti").join(leader, "list").filter("node <> lead").select("list", "node", "size")
+    weights = saved(strays.groupBy("list").agg(F.sum(F.col("size") + 1).alias("stray")).join(large, "list"))
+    half = F.lit(most / 2)
+    blocks = weights.select("list", F.ceil(F.col("stray") / half).cast("int").alias("rows"), F.ceil(F.col("weight") / half).cast("int").alias("columns"))
+    block = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
+    part = lambda r, c: (r * F.col("columns") + c).cast("int").alias("part")
+    up = strays.join(blocks, "list").select("list", block("rows").alias("r"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("c"), "columns", "node")
+    across = own.join(blocks, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"), block("columns").alias("c"), "columns", "node")
+    dealt = up.select("list", part(F.col("r"), F.col("c")), "node", F.lit(True).alias("first")).unionByName(across.select("list", part(F.col("r"), F.col("c")), "node", F.lit(False).alias("first")))
+    return found.unionByName(stars).unionByName(_linked(dealt, sets))
 
 
 def similar_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -318,12 +388,13 @@ def similar_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = components(links(anchors(prints.select(F.col("print").alias("bits"), F.col("print").alias("id")))))
     by_print = nodes.join(near.withColumnsRenamed({"node": "n", "root": "r"}), F.col("print") == F.col("n"), "left").select(F.xxhash64(F.coalesce("r", "print"), F.lit("SimHash")).alias("list"), "node", "size")
     every = nodes.select(F.explode("bands").alias("list"), "node", "size").unionByName(by_print)
-    several = every.groupBy("list").agg(F.count("*").alias("n")).filter("n > 1").select("list")
+    several = every.groupBy("list").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("list")
     lists = saved(every.join(several, "list"))
     wanted = nodes.join(lists.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("id"), F.col("raw").alias("of"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("raw"), "text")
-    texts = saved(own.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("raw").eqNullSafe(F.col("of"))).select("node", "text").dropDuplicates(["node"]))
-    roots = _compared(lists, texts)
+    texts = own.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("raw").eqNullSafe(F.col("of")))
+    sets = saved(shingled(texts).dropDuplicates(["node"]))  # a row that is there several times has one node
+    roots = components(compared(lists, sets))
     named = nodes.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("copy", "none", "doc_id", "raw", F.coalesce("root", "node").alias("root"))
     first = named.groupBy("root").agg(F.min(F.struct("none", "doc_id", "raw")).alias("first"))
     of = named.select(F.col("copy").alias("c"), "root").join(first, "root").select("c", F.col("first.doc_id").alias("id"), F.col("first.raw").alias("of"))

@@ -1,9 +1,10 @@
 import random
 import re
 
+import numpy as np
 import xxhash
 
-from sparksieve.llm.simhash import anchors, components, exact_similarity, fingerprint, links, near_copies, one_of_each
+from sparksieve.llm.simhash import anchors, compared, components, exact_similarity, fingerprint, links, near_copies, one_of_each
 
 SCHEMA = "doc_id long, text string, bits long, u string"
 
@@ -153,6 +154,36 @@ def test_leaders_that_are_unlike(spark):
     assert brute_kept(texts) == set(range(151)) and {x.doc_id for x in kept} == set(range(151))
 
 
+def test_lists_of_any_size(spark):
+    """Links of lists that are compared in one task, or with leaders and in blocks, make the same components."""
+    r = random.Random(17)
+    base = list(range(60))
+    sets = {}
+    for i in range(150):
+        if i % 50 == 0:
+            base = r.sample(range(5000), 60)
+        own = set(r.sample(base, 60 - r.choice([0, 2, 5, 9, 14]))) | {r.randrange(10**6, 10**9) for _ in range(r.choice([0, 1, 4, 8]))}
+        sets[i] = own
+    pack = lambda x: np.array(sorted(x), np.uint64).tobytes()
+    frame = spark.createDataFrame([(i, bytearray(pack(x))) for i, x in sets.items()], "node long, shingles binary")
+    lists = spark.createDataFrame([(k, i, len(x)) for i, x in sets.items() for k in range(i // 50 * 2, i // 50 * 2 + 2)] + [(99, 3, len(sets[3])), (98, 3, len(sets[3])), (98, 77, len(sets[77]))], "list long, node long, size long")
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in range(a):
+            if a // 50 == b // 50 and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    for most in (1 << 21, 2000, 300):
+        got = {x.node: x.root for x in components(compared(lists, frame, most)).collect()}
+        assert {i: got.get(i, i) for i in sets} == {i: find(i) for i in sets}, most
+
+
 def test_empty_table(spark):
     assert near_copies(spark.createDataFrame([], SCHEMA)).collect() == []
     assert one_of_each(spark.createDataFrame([], SCHEMA)).collect() == []
