@@ -22,9 +22,14 @@ latter, one chunk each sends the piece to the bucket of its core.  They differ i
 no bucket gathers more than a bounded number of them.
 In a bucket, an anchor with more fragments than a shard holds is split likewise, by 32 places.
 
-Cases: null and empty texts have no bytes; repeated rows remove each other; a text of one repeated letter has all of
-it removed; extra columns are left out; no rows give no rows.  Text that is cut within a character loses the rest
-of the character in the column `kept` only; the digest is of the bytes.
+With keep_first, of equal strings the first stays: the one in the smallest doc_id (a null id is the largest, equal ids
+go by chunk), there the one that starts first.  Fragments and pieces then go with the place of the first of their
+kind, answers tell which starts have an equal string before them, and these starts' bytes are removed.
+
+Cases: null and empty texts have no bytes; repeated rows remove each other, or all but one (keep_first); a text of one
+repeated letter has all of it removed, or all but its first LENGTH bytes; extra columns are left out (without_repeats()
+keeps them, whatever their names); no rows give no rows.  Text that is cut within a character loses the rest of the
+character in the column `kept` only; the digest is of the bytes.
 """
 
 from __future__ import annotations
@@ -39,8 +44,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Answers, Texts, answer, ask, bits, buckets, chunked, finish, groups, mix64, planes, split_sorted, unbits, unplanes
-from .substring import ANCHOR_BYTES, repeated_keys
-from .suffix import repeated_starts
+from .common import fresh
+from .substring import ANCHOR_BYTES, _unsigned, repeated_keys
+from .suffix import repeated_groups
 
 LENGTH = 400
 #: Bytes of a piece whose hash can make it an anchor.
@@ -58,6 +64,10 @@ _IN_WORD = ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _STEP = 0xD6E8FEB86659FD93  # odd, so that it has an inverse modulo 2^64
 
 
+def _signed(x: np.ndarray) -> np.ndarray:
+    return (x ^ np.uint64(1 << 63)).view(np.int64)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, _STEP, np.uint64), np.full(n, pow(_STEP, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
@@ -119,6 +129,10 @@ class Chunk:
     def fragments(self, texts: Texts, wanted: np.ndarray) -> Fragments:
         """Distinct fragments of the wanted runs (by anchor), in the order of their anchors' hashes."""
         kept = np.flatnonzero(wanted[self.group])
+        # In the order of documents and places: the first run of a fragment is the one that may stay.
+        doc = texts.ids[np.searchsorted(texts.offsets, self.first[kept], "right") - 1]
+        order = np.lexsort((self.first[kept], doc, self.keys[self.group[kept]]))
+        kept, doc = kept[order], doc[order]
         seen: dict[tuple[int, int, bytes], int] = {}
         number = []
         keys = (self.keys[self.group[kept]] & ~np.uint64(0x1FF)).tolist()
@@ -126,7 +140,17 @@ class Chunk:
         for k, a, b, p in zip(keys, self.first[kept].tolist(), self.last[kept].tolist(), self.at[kept].tolist(), strict=True):
             number.append(seen.setdefault((k, p - a, bytes(data[a : b + self.length])), len(seen)))
         count = np.bincount(np.array(number, np.int64), minlength=len(seen))
-        return Fragments([f for _, _, f in seen], [k for k, _, _ in seen], [p for _, p, _ in seen], count.tolist(), kept, np.array(number, np.int64))
+        lead = np.unique(np.array(number, np.int64), return_index=True)[1]
+        ranks = list(zip(doc[lead].tolist(), [texts.chunk] * len(lead), self.first[kept[lead]].tolist(), strict=True))
+        return Fragments([f for _, _, f in seen], [k for k, _, _ in seen], [p for _, p, _ in seen], count.tolist(), kept, np.array(number, np.int64), ranks, lead)
+
+
+#: A place in the order of all bytes: document's id, chunk, byte of the chunk.
+Rank = tuple[int, int, int]
+
+
+def _after(rank: Rank, n: int) -> Rank:
+    return rank[0], rank[1], rank[2] + n
 
 
 class Fragments(NamedTuple):
@@ -136,6 +160,8 @@ class Fragments(NamedTuple):
     counts: list[int]
     runs: np.ndarray  # the chunk's runs that have them
     number: np.ndarray  # and which one each has
+    ranks: list[Rank]  # where the first of each starts
+    lead: np.ndarray  # the place in `runs` of the first of each
 
 
 class Piece(NamedTuple):
@@ -177,75 +203,100 @@ class PieceList:
     def __init__(self, found: Fragments, pieces: list[Piece]):
         self.pieces = pieces
         core, mark = (np.array([getattr(p, k) for p in pieces], np.uint64) for k in ("core", "mark"))
-        order = np.lexsort((mark, core))
+        ranks = [_after(found.ranks[p.fragment], p.start) for p in pieces]
+        ids, places = np.array([r[0] for r in ranks], np.int64), np.array([r[2] for r in ranks], np.int64)
+        order = np.lexsort((places, ids, mark, core))
         core, mark = core[order], mark[order]
         new = groups(core) | groups(mark)
         self.own = np.empty(len(pieces), np.int64)
         self.own[order] = np.cumsum(new) - 1
-        self.core, self.mark = core[new], mark[new]
+        self.core, self.mark, self.ids, self.places = core[new], mark[new], ids[order][new], places[order][new]
+        self.lead = np.zeros(len(pieces), bool)  # the first piece of each kind
+        self.lead[order[new]] = True
+        self.chunk = ranks[0][1] if ranks else 0
         self.several = np.bincount(self.own, [found.counts[p.fragment] for p in pieces], len(self.core)) > 1
 
     def asked(self, n: int) -> Iterator[tuple[int, bytes]]:
         cuts = split_sorted(self.core, n)
         for k in np.flatnonzero(np.diff(cuts)).tolist():
             own = slice(cuts[k], cuts[k + 1])
-            yield k, (int(cuts[k + 1] - cuts[k])).to_bytes(8, "big") + planes(self.core[own]) + planes(self.mark[own]) + bits(self.several[own])
+            rank = planes(_unsigned(self.ids[own])) + planes(_unsigned(self.places[own]))
+            yield k, np.array([cuts[k + 1] - cuts[k], self.chunk], np.int64).tobytes() + planes(self.core[own]) + planes(self.mark[own]) + rank + bits(self.several[own])
 
-    def answered(self, got: dict[int, bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each piece: it stands elsewhere too; this chunk is to send it."""
+    def answered(self, got: dict[int, bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each piece: it stands elsewhere too; this chunk is to send it (it has the first); an equal one stands before it."""
         cuts = split_sorted(self.core, n)
-        both = [[np.zeros(0, bool)], [np.zeros(0, bool)]]
+        three = [[np.zeros(0, bool)], [np.zeros(0, bool)], [np.zeros(0, bool)]]
         for k in np.flatnonzero(np.diff(cuts)).tolist():
             size = int(cuts[k + 1] - cuts[k])
-            both[0].append(unbits(got[k][: -(-size // 8)], size))
-            both[1].append(unbits(got[k][-(-size // 8) :], size))
-        return np.concatenate(both[0])[self.own], np.concatenate(both[1])[self.own]
+            for i, own in enumerate(three):
+                own.append(unbits(got[k][-(-size // 8) * i :], size))
+        again, send, later = (np.concatenate(x)[self.own] for x in three)
+        return again, send, later | ~self.lead
 
 
 def judged_pieces(blobs: list[bytes]) -> list[bytes]:
-    """For each list: which pieces stand several times, then which are to be sent: the first of each kind, where a core has several kinds."""
-    sizes = [int.from_bytes(b[:8], "big") for b in blobs]
-    core = np.concatenate([unplanes(b[8 : 8 + 8 * n], np.uint64) for b, n in zip(blobs, sizes, strict=True)])
-    mark = np.concatenate([unplanes(b[8 + 8 * n : 8 + 16 * n], np.uint64) for b, n in zip(blobs, sizes, strict=True)])
-    several = np.concatenate([unbits(b[8 + 16 * n :], n) for b, n in zip(blobs, sizes, strict=True)])
-    order = np.lexsort((mark, core))
+    """For each list: which pieces stand several times; which are to be sent: the first of each kind, where a core has several kinds; and which have an equal one before them."""
+    sizes, chunks = (np.array(x, np.int64) for x in zip(*(np.frombuffer(b[:16], np.int64).tolist() for b in blobs), strict=True))
+    column = lambda i: np.concatenate([unplanes(b[16 + 8 * n * i : 16 + 8 * n * (i + 1)], np.uint64) for b, n in zip(blobs, sizes.tolist(), strict=True)])
+    core, mark, ids, places = map(column, range(4))
+    several = np.concatenate([unbits(b[16 + 32 * n :], n) for b, n in zip(blobs, sizes.tolist(), strict=True)])
+    order = np.lexsort((places, np.repeat(chunks, sizes), ids, mark, core))
     new_core = groups(core[order])
     new = new_core | groups(mark[order])
     kind = np.cumsum(new) - 1
     often = np.bincount(kind, several[order] + 1)[kind] > 1
     group = np.cumsum(new_core) - 1
     kinds = np.bincount(group, new)[group] > 1
-    again, send = np.zeros(len(core), bool), np.zeros(len(core), bool)
-    again[order], send[order] = often, new & kinds
+    again, send, later = (np.zeros(len(core), bool) for _ in range(3))
+    again[order], send[order], later[order] = often, new & kinds, ~new
     ends = np.cumsum(sizes)[:-1]
-    return [bits(a) + bits(b) for a, b in zip(np.split(again, ends), np.split(send, ends), strict=True)]
+    return [bits(a) + bits(b) + bits(c) for a, b, c in zip(*(np.split(x, ends) for x in (again, send, later)), strict=True)]
 
 
-def _sent(units: list[tuple[int, int, bytes, int]]) -> bytes:
-    """(key, anchor's place, bytes, count) of each."""
-    keys, place, fragments, count = zip(*units, strict=True)
+#: What a chunk sends: anchor's or core's hash, anchor's place, bytes; how often, and where the first is.
+Unit = tuple[int, int, bytes, int, Rank]
+
+
+def _sent(units: list[Unit]) -> bytes:
+    keys, place, fragments, count, ranks = zip(*units, strict=True)
     size = np.array([len(f) for f in fragments], np.uint64)
-    raw = planes(np.array(keys, np.uint64)) + planes(size * np.uint64(2) | (np.array(count) > 1).astype(np.uint64)) + planes(np.array(place, np.uint64)) + b"".join(fragments)
-    return np.array([len(fragments), len(raw)], np.int64).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+    numbers = [np.array(keys, np.uint64), size * np.uint64(2) | (np.array(count) > 1).astype(np.uint64), np.array(place, np.uint64), *(_unsigned(np.array([r[i] for r in ranks], np.int64)) for i in (0, 2))]
+    raw = b"".join(map(planes, numbers)) + b"".join(fragments)
+    return np.array([len(fragments), len(raw), ranks[0][1]], np.int64).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _received(blob: bytes) -> tuple[list[bytes], list[int], list[int], list[bool]]:
-    n, size = np.frombuffer(blob[:16], np.int64).tolist()
-    raw = pa.decompress(blob[16:], decompressed_size=size, codec="zstd", asbytes=True)
-    keys, sizes, place = (unplanes(raw[8 * n * i : 8 * n * (i + 1)], np.uint64) for i in range(3))
-    ends = np.cumsum(sizes >> np.uint64(1)).astype(np.int64) + 24 * n
+def _received(blob: bytes) -> tuple[list[bytes], list[int], list[int], list[bool], list[Rank]]:
+    n, size, chunk = np.frombuffer(blob[:24], np.int64).tolist()
+    raw = pa.decompress(blob[24:], decompressed_size=size, codec="zstd", asbytes=True)
+    keys, sizes, place, ids, at = (unplanes(raw[8 * n * i : 8 * n * (i + 1)], np.uint64) for i in range(5))
+    ends = np.cumsum(sizes >> np.uint64(1)).astype(np.int64) + 40 * n
     begins = ends - (sizes >> np.uint64(1)).astype(np.int64)
-    return [raw[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)], keys.tolist(), place.tolist(), (sizes & np.uint64(1)).astype(bool).tolist()
+    ranks = [(i, chunk, p) for i, p in zip(_signed(ids).tolist(), _signed(at).tolist(), strict=True)]
+    return [raw[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)], keys.tolist(), place.tolist(), (sizes & np.uint64(1)).astype(bool).tolist(), ranks
+
+
+#: Flags of starts, and where the first of them is.
+View = tuple[np.ndarray, Rank]
+
+
+def _mark_later(views: list[View]) -> View:
+    """Of views of equal bytes, all but the first have an equal string before each start; returns the first."""
+    first = min(views, key=lambda v: v[1])
+    for v in views:
+        if v is not first:
+            v[0][:] = True
+    return first
 
 
 class _Shard:
-    """Fragments that wait for a suffix array, each with the flags of its starts (one or more views of them)."""
+    """Fragments that wait for a suffix array, each with views of the flags of its starts."""
 
-    def __init__(self, length: int, most: int):
-        self.length, self.most, self.size = length, most, 0
-        self.waiting: list[tuple[bytes, list[np.ndarray]]] = []
+    def __init__(self, length: int, most: int, keep_first: bool):
+        self.length, self.most, self.keep_first, self.size = length, most, keep_first, 0
+        self.waiting: list[tuple[bytes, list[View]]] = []
 
-    def add(self, fragments: list[tuple[bytes, list[np.ndarray]]]) -> None:
+    def add(self, fragments: list[tuple[bytes, list[View]]]) -> None:
         """Fragments that belong in one suffix array."""
         size = sum(len(f) for f, _ in fragments)
         if self.size + size > self.most:
@@ -255,23 +306,42 @@ class _Shard:
 
     def build(self) -> None:
         if self.waiting:
-            for (_, views), got in zip(self.waiting, repeated_starts([f for f, _ in self.waiting], self.length), strict=True):
-                for flags in views:
-                    flags |= got
+            found = repeated_groups([f for f, _ in self.waiting], self.length)
+            if self.keep_first:
+                self._later([_mark_later(views) for _, views in self.waiting], found)
+            else:
+                for (_, views), got in zip(self.waiting, found, strict=True):
+                    for flags, _ in views:
+                        flags |= got >= 0
         self.size, self.waiting = 0, []
 
+    def _later(self, views: list[View], found: list[np.ndarray]) -> None:
+        """Flags the starts that have an equal string at a start of a smaller rank."""
+        at = [np.flatnonzero(g >= 0) for g in found]
+        number = np.repeat(np.arange(len(at)), [len(x) for x in at])
+        start = np.concatenate(at)
+        group = np.concatenate([g[x] for g, x in zip(found, at, strict=True)])
+        ids, chunk, place = (np.array([r[i] for _, r in views], np.int64)[number] for i in range(3))
+        order = np.lexsort((place + start, chunk, ids, group))
+        later = ~groups(group[order])
+        for i, t in zip(number[order][later].tolist(), start[order][later].tolist(), strict=True):
+            views[i][0][t] = True
 
-def _split(fragments: list[tuple[bytes, int, np.ndarray]], length: int, shard: _Shard) -> None:
+
+def _split(fragments: list[tuple[bytes, int, View]], length: int, shard: _Shard) -> None:
     """Compares fragments of one anchor that are too many for a shard, by the starts' places relative to the anchor."""
-    parts: dict[tuple[int, bytes], dict[bytes, list[np.ndarray]]] = {}
-    for f, place, flags in fragments:
+    parts: dict[tuple[int, bytes], dict[bytes, list[View]]] = {}
+    for f, place, (flags, rank) in fragments:
         for piece, core in cells(0, f, place, length, CELL):
             own = parts.setdefault((piece.place // CELL, core), {})
-            own.setdefault(f[piece.start : piece.start + piece.starts + length - 1], []).append(flags[piece.start : piece.start + piece.starts])
+            own.setdefault(f[piece.start : piece.start + piece.starts + length - 1], []).append((flags[piece.start : piece.start + piece.starts], _after(rank, piece.start)))
     for group in parts.values():
         for same in group.values():
-            for flags in same:
-                flags |= len(same) > 1
+            if shard.keep_first:
+                _mark_later(same)
+            else:
+                for flags, _ in same:
+                    flags |= len(same) > 1
         if len(group) > 1:
             shard.add([*group.items()])
 
@@ -283,25 +353,31 @@ def repeated_or_hot(blobs: list[bytes], hot: int) -> list[bytes]:
     return [r + bits(count[np.searchsorted(key, x)] >= hot) for r, x in zip(repeated_keys(blobs), lists, strict=True)]
 
 
-def repeats(blobs: list[bytes], length: int, shard_bytes: int) -> list[bytes]:
-    """For each chunk's fragments, which of their starts repeat, as bits."""
+def repeats(blobs: list[bytes], length: int, shard_bytes: int, keep_first: bool = False) -> list[bytes]:
+    """For each chunk's fragments, which of their starts repeat (keep_first: have an equal string before them), as bits."""
     lists = [_received(b) for b in blobs]
     place: dict[tuple[int, int, bytes], int] = {}
-    number = [[place.setdefault((k, p, f), len(place)) for f, k, p in zip(fs, ks, ps, strict=True)] for fs, ks, ps, _ in lists]
-    count = np.bincount(np.concatenate([np.array(n, np.int64) for n in number]), np.concatenate([np.array(m, np.int64) + 1 for *_, m in lists]), len(place))
-    flags = [np.full(len(f) - length + 1, c > 1) for (_, _, f), c in zip(place, count.tolist(), strict=True)]
+    number = [[place.setdefault((k, p, f), len(place)) for f, k, p in zip(fs, ks, ps, strict=True)] for fs, ks, ps, *_ in lists]
+    count = np.bincount(np.concatenate([np.array(n, np.int64) for n in number]), np.concatenate([np.array(m, np.int64) + 1 for *_, m, _ in lists]), len(place))
+    first: dict[int, Rank] = {}
+    for n, (*_, ranks) in zip(number, lists, strict=True):
+        for i, r in zip(n, ranks, strict=True):
+            first[i] = min(r, first.get(i, r))
+    flags = [np.full(len(f) - length + 1, c > 1 and not keep_first) for (_, _, f), c in zip(place, count.tolist(), strict=True)]
     by_anchor: dict[int, list[int]] = {}
     for i, (k, _, _) in enumerate(place):
         by_anchor.setdefault(k, []).append(i)
-    every = [(f, p, own) for (_, p, f), own in zip(place, flags, strict=True)]
-    shard = _Shard(length, shard_bytes)
+    every = [(f, p, (own, first[i])) for i, ((_, p, f), own) in enumerate(zip(place, flags, strict=True))]
+    shard = _Shard(length, shard_bytes, keep_first)
     for own in by_anchor.values():
         if sum(len(every[i][0]) for i in own) <= shard_bytes:
             shard.add([(every[i][0], [every[i][2]]) for i in own])
         else:
             _split([every[i] for i in own], length, shard)
     shard.build()
-    return [bits(np.concatenate([np.zeros(0, bool), *(flags[i] for i in n)])) for n in number]
+    # Equal fragments of other chunks than the first's have an equal string before every start.
+    answer = lambda i, r: flags[i] if not keep_first or r == first[i] else np.ones(len(flags[i]), bool)
+    return [bits(np.concatenate([np.zeros(0, bool), *(answer(i, r) for i, r in zip(n, ranks, strict=True))])) for n, (*_, ranks) in zip(number, lists, strict=True)]
 
 
 def _long_enough(texts: Texts, start: np.ndarray, length: int, words: int) -> np.ndarray:
@@ -320,9 +396,11 @@ def _long_enough(texts: Texts, start: np.ndarray, length: int, words: int) -> np
     return out
 
 
-def dedup_bytes(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, with_text: bool = True, hot_chunks: int = HOT, words: int = 0) -> DataFrame:
+def dedup_bytes(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, with_text: bool = True, hot_chunks: int = HOT, words: int = 0, keep_first: bool = False) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, text_sha256 and kept (null without with_text).
 
+    With keep_first, the first of equal strings stays.
+
     With words, repeated passages (runs of starts, with the bytes they cover) of that many words or fewer stay if they
     are shorter than LENGTH.
     """
@@ -363,18 +441,19 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_
         listed = hot_list(c, found, hot)
         flags = [np.zeros(len(f) - length + 1, bool) for f in found.fragments]
         made: dict[tuple[int, int, bytes], list[tuple[int, int, int]]] = {}
-        for p, again, send in zip(listed.pieces, *(x.tolist() for x in listed.answered(got[1], n)), strict=True):
-            if again:
+        for p, again, send, later, lead in zip(listed.pieces, *(x.tolist() for x in listed.answered(got[1], n)), listed.lead.tolist(), strict=True):
+            if later if keep_first else again:
                 flags[p.fragment][p.start : p.start + p.starts] = True
-            if send:
+            if send and (lead or not keep_first):
                 made.setdefault((p.core, p.place, found.fragments[p.fragment][p.start : p.start + p.starts + length - 1]), []).append((p.fragment, p.start, p.starts))
         cut_up = {p.fragment for p in listed.pieces}
         for i, (f, k, place) in enumerate(zip(found.fragments, found.keys, found.places, strict=True)):
             if i not in cut_up:
                 made[k, place, f] = [(i, 0, len(f) - length + 1)]
-        out: dict[int, list[tuple[tuple[int, int, bytes, int], list[tuple[int, int, int]]]]] = {}
+        out: dict[int, list[tuple[Unit, list[tuple[int, int, int]]]]] = {}
         for (k, place, f), owners in made.items():
-            out.setdefault((k * n) >> 64, []).append(((k, place, f, sum(found.counts[i] for i, *_ in owners)), owners))
+            rank = min(_after(found.ranks[i], start) for i, start, _ in owners)
+            out.setdefault((k * n) >> 64, []).append(((k, place, f, sum(found.counts[i] for i, *_ in owners), rank), owners))
         return c, found, flags, out
 
     def send(texts: Texts, got: Answers) -> Iterator[tuple[int, bytes]]:
@@ -389,9 +468,11 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_
                 for f, start, starts in owners:
                     flags[f][start : start + starts] |= hit
         start = np.zeros(len(texts.data), bool)  # runs share no starts
-        some = [bool(f.any()) for f in flags]
-        for a, b, f in zip(c.first[found.runs].tolist(), c.last[found.runs].tolist(), found.number.tolist(), strict=True):
-            if some[f]:
+        some, lead = [bool(f.any()) for f in flags], set(found.lead.tolist())
+        for i, (a, b, f) in enumerate(zip(c.first[found.runs].tolist(), c.last[found.runs].tolist(), found.number.tolist(), strict=True)):
+            if keep_first and i not in lead:
+                start[a : b + 1] = True
+            elif some[f]:
                 start[a : b + 1] = flags[f]
         if words:
             start = _long_enough(texts, start, length, words)
@@ -417,7 +498,7 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_
         )
 
     def reply(blobs: list[bytes]) -> list[bytes]:
-        return repeats(blobs, length, shard_bytes)
+        return repeats(blobs, length, shard_bytes, keep_first)
 
     repeated = answer(ask(chunks, [], anchors), lambda blobs: repeated_or_hot(blobs, hot_chunks), n)
     hot = answer(ask(chunks, [repeated], pieces), judged_pieces, n)
@@ -426,15 +507,18 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
-    """docs with repeated strings (see dedup_bytes) cut out of their texts; texts that lose all their bytes go.
+    """docs without repeated strings but their first occurrence (see dedup_bytes); texts that lose all their bytes go.
 
     Columns stay as they are but for text, and n_chars where there is one.  Only texts that lose something are joined
-    to what is left of them; rows are told by id and digest, so repeated rows lose the same.
+    to what is left of them; rows are told by id and digest, so rows of one id and text all have left what the one that
+    loses least has.
     """
-    found = dedup_bytes(docs, length, words=words).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"), F.col("kept").alias("_kept")).distinct()
-    keyed = docs.withColumn("_of", F.sha2("text", 256))
-    joined = keyed.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_digest")), "left")
-    kept = joined.filter("_kept is null or _kept <> ''")
-    text = F.coalesce("_kept", "text")
-    changed = {"text": text} | ({"n_chars": F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    i, digest, left, of = fresh(docs, "id", "digest", "left", "of")
+    each = dedup_bytes(docs, length, words=words, keep_first=True).select(F.col("doc_id").alias(i), F.col("text_sha256").alias(digest), "n_removed", F.when(F.col("n_removed") > 0, F.col("kept")).alias(left))
+    least = each.groupBy(i, digest).agg(F.min(F.struct("n_removed", left)).alias("least")).filter("least.n_removed > 0").select(i, digest, F.col("least")[left].alias(left))
+    joined = docs.withColumn(of, F.sha2("text", 256)).join(least, F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.col(of) == F.col(digest)), "left")
+    kept = joined.filter(F.col(left).isNull() | (F.col(left) != ""))
+    changed = {"text": F.coalesce(left, "text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col(left).isNull(), F.col("n_chars")).otherwise(F.length(left)).cast(docs.schema["n_chars"].dataType)
     return kept.withColumns(changed).select(*docs.columns)

@@ -37,8 +37,8 @@ NO_ID = np.iinfo(np.int64).max
 class Texts:
     """Documents of a chunk: ids (int64), null ids (bool), and texts as one byte array with offsets."""
 
-    def __init__(self, ids: np.ndarray, null: np.ndarray, data: np.ndarray, offsets: np.ndarray):
-        self.ids, self.null, self.data, self.offsets = ids, null, data, offsets
+    def __init__(self, ids: np.ndarray, null: np.ndarray, data: np.ndarray, offsets: np.ndarray, chunk: int = 0):
+        self.ids, self.null, self.data, self.offsets, self.chunk = ids, null, data, offsets, chunk
 
     def __len__(self) -> int:
         return len(self.ids)
@@ -58,14 +58,14 @@ def _pack(ids: list[pa.Array], texts: list[pa.Array]) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def unpack(payload: bytes) -> Texts:
+def unpack(payload: bytes, chunk: int = 0) -> Texts:
     got = pa.ipc.open_stream(payload).read_all().combine_chunks()
     ids, text = got["id"].chunk(0) if got["id"].num_chunks else pa.array([], pa.int64()), got["text"].chunk(0) if got["text"].num_chunks else pa.array([], pa.large_binary())
     null = np.asarray(ids.is_null().to_numpy(zero_copy_only=False), bool)
     _, offsets, data = text.buffers()
     at = np.frombuffer(offsets, np.int64)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int64)
     all_data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    return Texts(ids.fill_null(NO_ID).to_numpy(zero_copy_only=False), null, all_data[at[0] : at[-1]], at - at[0])
+    return Texts(ids.fill_null(NO_ID).to_numpy(zero_copy_only=False), null, all_data[at[0] : at[-1]], at - at[0], chunk)
 
 
 def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -146,7 +146,8 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Texts, Answe
     for b in batches:
         for i in range(len(b)):
             got = [{x["bucket"]: x["blob"] for x in column[i].as_py() or []} for column in b.columns[2:]]
-            yield b.column(0)[i].as_py(), unpack(b.column(1)[i].as_buffer()), got
+            chunk = b.column(0)[i].as_py()
+            yield chunk, unpack(b.column(1)[i].as_buffer(), chunk), got
 
 
 def ask(chunks: DataFrame, answers: list[DataFrame], emit: Emit) -> DataFrame:

@@ -165,6 +165,11 @@ def _common(words: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.nd
 
 def repeated_starts(fragments: list[bytes], length: int) -> list[np.ndarray]:
     """For each fragment, at which places a string of `length` bytes starts that starts at another place of the fragments too; length is 8 or more."""
+    return [g >= 0 for g in repeated_groups(fragments, length)]
+
+
+def repeated_groups(fragments: list[bytes], length: int) -> list[np.ndarray]:
+    """For each fragment and start, the number of its string of `length` bytes among those that start at several places; -1 for others."""
     size = np.array([len(f) for f in fragments], np.int64)
     first = np.concatenate([[0], np.cumsum(size + 1)])[:-1]
     text = np.ones(int(size.sum()) + len(fragments) + 1, np.int16)  # 1 ends a fragment, 0 the text
@@ -174,7 +179,6 @@ def repeated_starts(fragments: list[bytes], length: int) -> list[np.ndarray]:
     array = suffix_array(text, length)
     phi = np.full(len(text), -1, np.int32)
     phi[array[1:]] = array[:-1]
-    del array
     starts = np.maximum(size - length + 1, 0)
     valid = np.zeros(len(text), bool)
     valid[np.arange(int(starts.sum())) - np.repeat(np.cumsum(starts) - starts, starts) + np.repeat(first, starts)] = True
@@ -196,7 +200,11 @@ def repeated_starts(fragments: list[bytes], length: int) -> list[np.ndarray]:
     # The string's last bytes first: most places that don't repeat differ there.
     maybe = rest[words[rest + length - 8] == words[phi[rest] + length - 8]]
     long[np.searchsorted(places, maybe[_common(words, maybe, phi[maybe], -(-length // 8) * 8) >= length])] = True
-    hit = np.zeros(len(text), bool)
-    hit[places[long]] = True
-    hit[phi[places[long]]] = True
-    return [hit[f : f + s] for f, s in zip(first.tolist(), starts.tolist(), strict=True)]
+    same = np.zeros(len(text), bool)  # as the suffix before it in the array
+    same[places[long]] = True
+    group = np.empty(len(text), np.int32)
+    group[array] = np.cumsum(~same[array])
+    alone = ~same
+    alone[phi[places[long]]] = False
+    group[alone] = -1
+    return [group[f : f + s] for f, s in zip(first.tolist(), starts.tolist(), strict=True)]

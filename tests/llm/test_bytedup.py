@@ -82,19 +82,40 @@ def test_production_length(spark):
     assert sorted(map(tuple, got), key=repr) == brute(rows, 400)
 
 
+def brute_first(rows, length):
+    """What is left of each text (by id) where of equal strings the first stays: least id, then least place."""
+    docs = sorted((i is None, i or 0, (t or "").encode()) for i, t in rows)
+    seen, left = set(), {}
+    for none, i, d in docs:
+        gone = bytearray(len(d))
+        for k in range(len(d) - length + 1):
+            if d[k : k + length] in seen:
+                gone[k : k + length] = b"\1" * length
+            seen.add(d[k : k + length])
+        left[None if none else i] = bytes(b for b, g in zip(d, gone) if not g)
+    return left
+
+
+@pytest.mark.parametrize(("shard", "hot"), [(2 << 20, 32), (3000, 32), (2 << 20, 1), (2 << 20, 2), (3000, 2)])
+def test_first_of_equal_strings_stays(spark, shard, hot):
+    for seed in (11, 12):
+        rows = [x for k, x in enumerate(made(seed)) if not (x[0] == 3 and x[1] == dict(made(seed)).get(202) and k)]
+        rows = [*{i: (i, t) for i, t in rows}.values()]
+        got = dedup_bytes(spark.createDataFrame([(i, t, 1, "x") for i, t in rows], SCHEMA).repartition(3), 100, shard, hot_chunks=hot, keep_first=True).collect()
+        assert {r.doc_id: r.kept_sha256 for r in got} == {i: hashlib.sha256(x).hexdigest() for i, x in brute_first(rows, 100).items()}
+
+
 def test_without_repeats(spark):
-    rows = [(i, t) for i, t in made(7)]
-    got = without_repeats(spark.createDataFrame([(i, t, 1, "x") for i, t in rows], SCHEMA), 100).collect()
-    want = []
-    for i, n, removed, _, digest in brute(rows, 100):
-        if removed < n or not n:
-            want.append((i, digest if not removed or n else digest))
-    assert sorted(r.doc_id for r in got if r.doc_id is not None) == sorted(i for i, _ in want if i is not None)
-    by_id = {}
-    for i, digest in want:
-        by_id.setdefault(i, set()).add(digest)
-    cut_within_a_letter = sum(hashlib.sha256((r.text or "").encode()).hexdigest() not in by_id[r.doc_id] for r in got)
-    assert cut_within_a_letter <= len(got) // 3 and all(r.payload == "x" and r.n_bytes == 1 for r in got)
+    """Columns named like those used inside stay as they are, and no text that stands nowhere else goes."""
+    schema = "doc_id long, text string, n_chars int, id string, digest int, left string, of string, _of string, _id string, _digest string, _kept string, kept string, n_removed int"
+    rows = [*dict(made(7)).items()]
+    frame = spark.createDataFrame([(i, t, len(t or ""), "a", 1, "b", "c", "d", "e", "f", "g", "h", 2) for i, t in [*rows, rows[0]]], schema)
+    got = without_repeats(frame, 100).collect()
+    want = {i: x for i, x in brute_first(rows, 100).items() if x or not dict(rows)[i]}
+    assert sorted((r.doc_id for r in got), key=repr) == sorted([*want, rows[0][0]] if rows[0][0] in want else want, key=repr)
+    for r in got:
+        assert (r.text or "").encode() == want[r.doc_id].decode("utf-8", "ignore").encode()
+        assert r.n_chars == len(r.text or "") and tuple(r)[3:] == ("a", 1, "b", "c", "d", "e", "f", "g", "h", 2)
 
 
 def test_empty_table(spark):
