@@ -14,7 +14,8 @@ nearer its remainder.
 Cases: null or empty texts have size 0 and take 0; a null source is a source of its
 own, ordered last; a null id has a position of its own, the same for all such rows;
 rows with equal ids share a position, so repeated rows go in or stay out together;
-no rows give no rows.
+extra columns are left out (with_times() keeps them, whatever their names); no rows
+give no rows.
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, word_count
+from .common import fresh, saved, word_count
 
 COARSE_BITS, FINE_BITS = 12, 20
+#: Bytes of a table of sources that is broadcast, at most; keys of a source beyond that.
+MOST_BROADCAST, SALTS = 4 << 20, 64
 
 
 def position(key: Column) -> Column:
@@ -64,39 +67,73 @@ def _boundary(histogram: DataFrame, bucket: str, left: str) -> DataFrame:
     return passed.groupBy("source").agg(F.min(F.struct(bucket, "before", "size", left)).alias("b")).select("source", "b.*")
 
 
-def mix(items: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
-    """items(doc_id, source, size) -> doc_id, source, size, source_size, target, taken (words, repeats counted)."""
-    at = position(F.col("doc_id"))
-    base = saved(
-        items.select("doc_id", "source", "size", at.alias("at")).select(
-            "doc_id", "source", "size", F.shiftright("at", FINE_BITS).cast("int").alias("coarse"), F.col("at").bitwiseAND((1 << FINE_BITS) - 1).cast("int").alias("fine")
-        )
-    )
+def by_source(rows: DataFrame, of_source: DataFrame, name: str, by: str) -> DataFrame:
+    """Adds to rows (with a column source) the struct `name` of of_source's row of the same source; rows without one go.
+
+    of_source is in the checkpoint folder with one row per source.  It is broadcast if it is measured to be small;
+    otherwise each of its rows is dealt to SALTS keys, among which the rows of a source are spread (by the column `by`),
+    so that one source is never one task.
+    """
+    s, salt = fresh(rows, "source_of", "salt")
+    if name in rows.columns or name == s:
+        raise ValueError(f"there is a column {name}")
+    small = of_source.select(F.col("source").alias(s), F.struct(*[c for c in of_source.columns if c != "source"]).alias(name))
+    n, size = of_source.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("source").cast("long")), F.lit(0))).first()
+    same = F.col("source").eqNullSafe(F.col(s))
+    if n * 100 + size <= MOST_BROADCAST:
+        return rows.join(F.broadcast(small), same).drop(s)
+    dealt, own = fresh(rows, "dealt")[0], F.pmod(F.xxhash64(by), F.lit(SALTS))
+    many = small.withColumn(dealt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    return rows.withColumn(salt, own).join(many, same & (F.col(salt) == F.col(dealt))).drop(s, salt, dealt)
+
+
+def _places(key: Column) -> tuple[Column, Column]:
+    """A position's coarse and fine bucket."""
+    at = position(key)
+    return F.shiftright(at, FINE_BITS).cast("int"), at.bitwiseAND((1 << FINE_BITS) - 1).cast("int")
+
+
+def rules(items: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
+    """items(doc_id, source, size) -> one row per source: source_size, target, whole, edge, below (which documents once more)."""
+    coarse, fine = _places(F.col("doc_id"))
+    base = saved(items.select("doc_id", "source", "size", coarse.alias("coarse"), fine.alias("fine")))
     by_coarse = base.groupBy("source", "coarse").agg(F.sum("size").alias("size"))
     targets = source_targets(by_coarse.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     plan = targets.withColumn("whole", whole).withColumn("left", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
     plan = saved(plan)  # one row per source
+    edge = saved(_boundary(by_source(by_coarse, plan.select("source", "left"), "plan", "coarse").select("source", "coarse", "size", "plan.left"), "coarse", "left").select("source", F.col("coarse").alias("edge"), (F.col("left") - F.col("before")).alias("left")))
+    inside = by_source(base, edge, "at", "doc_id").filter("coarse = at.edge").groupBy("source", "fine", "at.left").agg(F.sum("size").alias("size"))
+    nearer = (F.col("before") + F.col("size") - F.col("left")) < (F.col("left") - F.col("before"))
+    last = _boundary(inside, "fine", "left").select(F.col("source").alias("t"), (F.col("fine") + nearer.cast("int")).alias("below"))
+    edges = edge.join(last, F.col("source").eqNullSafe(F.col("t"))).select(F.col("source").alias("s"), "edge", "below")
+    return saved(plan.join(edges, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "whole", "edge", "below"))
 
-    def with_left(histogram: DataFrame, other: DataFrame, column: str) -> DataFrame:
-        o = other.select(F.col("source").alias("s"), column)
-        return histogram.join(o, F.col("source").eqNullSafe(F.col("s"))).drop("s")
 
-    edge = _boundary(with_left(by_coarse, plan, "left"), "coarse", "left")
-    edge = edge.select(F.col("source").alias("s"), F.col("coarse").alias("edge"), (F.col("left") - F.col("before")).alias("left"))
-    inside = base.join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.col("coarse") == F.col("edge")))
-    by_fine = inside.groupBy("source", "edge", "left", "fine").agg(F.sum("size").alias("size"))
-    last = _boundary(by_fine.drop("edge"), "fine", "left")
-    nearer = (F.col("before") + F.col("size") - F.col("left")) < (F.col("left") - F.col("before"))
-    last = last.select(F.col("source").alias("t"), (F.col("fine") + nearer.cast("int")).alias("below"))
-    edges = edge.join(last, F.col("s").eqNullSafe(F.col("t"))).select("s", "edge", "below")
-    rules = plan.join(edges, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("r"), "source_size", "target", "whole", "edge", "below")
-    again = (F.col("coarse") < F.col("edge")) | ((F.col("coarse") == F.col("edge")) & (F.col("fine") < F.col("below")))
+def times(key: Column, rule: str) -> Column:
+    """How often a document is taken, by its source's rule."""
+    coarse, fine = _places(key)
+    r = lambda k: F.col(f"{rule}.{k}")
     # A remainder of 0 has its edge at the first bucket with words and takes none of it.
-    times = F.col("whole") + F.coalesce(again, F.lit(False)).cast("long")
-    return base.join(rules, F.col("source").eqNullSafe(F.col("r"))).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"))
+    again = (coarse < r("edge")) | ((coarse == r("edge")) & (fine < r("below")))
+    return r("whole") + F.coalesce(again, F.lit(False)).cast("long")
+
+
+def with_times(docs: DataFrame, size: str, name: str, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
+    """docs(doc_id, source, `size`, ...) and how often each is taken, as the column `name`; documents stay where they are."""
+    rule = fresh(docs, "rule")[0]
+    found = rules(docs.select("doc_id", "source", F.col(size).alias("size")), weights, cap)
+    return by_source(docs, found, rule, "doc_id").withColumn(name, times(F.col("doc_id"), rule)).drop(rule)
+
+
+def mix(items: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
+    """items(doc_id, source, size) -> doc_id, source, size, source_size, target, taken (words, repeats counted), times."""
+    items = items.select("doc_id", "source", "size")
+    taken = by_source(items, rules(items, weights, cap), "rule", "doc_id").withColumn("times", times(F.col("doc_id"), "rule"))
+    return taken.select("doc_id", "source", "size", "rule.source_size", "rule.target", (F.col("size") * F.col("times")).alias("taken"), "times")
 
 
 def mix_documents(documents: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
     """mix() of documents(doc_id, source, text), sized by their words."""
-    return mix(documents.select("doc_id", "source", word_count(F.col("text")).alias("size")), weights, cap)
+    sized = saved(documents.select("doc_id", "source", word_count(F.col("text")).alias("size")))  # words are counted once
+    return mix(sized, weights, cap)

@@ -1,5 +1,6 @@
 import re
 
+from sparksieve.llm import mixing
 from sparksieve.llm.mixing import mix, mix_documents, source_targets
 
 SCHEMA = "doc_id long, text string, source string, size string, target int"
@@ -50,6 +51,16 @@ def test_mix(spark):
     assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, again), key=repr)
 
 
+def test_many_sources(spark, monkeypatch):
+    """Tables of sources that are too large to broadcast are joined by salted keys, with the same result."""
+    data = rows()
+    frame = spark.createDataFrame(data, SCHEMA).repartition(3)
+    want = sorted(map(tuple, mix_documents(frame).collect()), key=repr)
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", 0)
+    got = mix_documents(frame)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().optimizedPlan().toString() and sorted(map(tuple, got.collect()), key=repr) == want
+
+
 def test_budgets_nest(spark):
     items = spark.createDataFrame([(i, s, 10) for i in range(500) for s in "ab"], "doc_id long, source string, size long")
     less = {(r.doc_id, r.source): r.times for r in mix(items, (3, 1)).collect()}
