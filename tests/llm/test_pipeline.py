@@ -5,12 +5,13 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 
 import corpus_pipeline  # noqa: E402
 from sparksieve.llm.simhash import exact_similarity  # noqa: E402
-from test_bytedup import brute as brute_bytes  # noqa: E402
+from test_bytedup import brute_first  # noqa: E402
 from test_decontam import brute as brute_benchmark  # noqa: E402
 from test_mixing import targets  # noqa: E402
 
@@ -77,12 +78,13 @@ def test_stages(spark, sf_dir, tmp_path):
     assert set(after) == {find(i) for i in before} and all(after[i] == before[i] for i in after)
 
     before, after = after, {r.doc_id: r.text for r in rows["repeated_strings"]}
-    cut = brute_bytes(list(before.items()), 400)
-    assert sorted(after) == sorted(i for i, n, removed, *_ in cut if removed < n or not n)
-    size = {i: (n, removed) for i, n, removed, *_ in cut}
-    assert all(len((after[i] or "").encode()) <= size[i][0] - size[i][1] <= len((after[i] or "").encode()) + 6 for i in after)
-    assert any(removed for _, removed in size.values())
-    assert all(r.n_chars == len(r.text) for r in rows["repeated_strings"] if size[r.doc_id][1])
+    # At 400 bytes and more every repeated run goes; what stays besides are the first of each and shorter runs of 50 words or fewer.
+    least, most = brute_first(before.items(), 101), brute_first(before.items(), 400)
+    assert sorted(after) == sorted(i for i in before if after.get(i) or not before[i])
+    size = {i: (len(least[i]), len(most[i])) for i in before}
+    assert all(size[i][0] - 6 <= len((after.get(i) or "").encode()) <= size[i][1] for i in before)
+    assert any(len(after[i] or "") < len(before[i] or "") for i in after)
+    assert all(r.n_chars == len(r.text) for r in rows["repeated_strings"] if r.text is not None)
 
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     hit = {i for i, *_ in brute_benchmark(list(after.items()), items)}
@@ -101,22 +103,40 @@ def test_stages(spark, sf_dir, tmp_path):
 
 
 def test_passages_of_over_fifty_words(spark):
-    """Passages of 51 to 60 words in otherwise different texts go, of 40 words they stay, whatever their words' lengths."""
+    """Of passages of 51 to 60 words in otherwise different texts the first stays and the others go; those of 50 and fewer stay, whatever their words' lengths."""
     r = random.Random(13)
     own = lambda: " ".join(f"{r.getrandbits(30):x}" for _ in range(80))
     rows, want = [], {}
     for n, size in ((51, 1), (51, 3), (55, 5), (60, 5), (40, 5), (40, 7), (50, 4)):
         for _ in range(3):
             passage = " ".join("".join(r.choices("abcdefghij", k=size)) for _ in range(n))
-            for _ in range(2):
+            for k in range(3):
                 a, b, i = own(), own(), len(rows)
                 rows.append((i, f"{a} {passage} {b}", "en", "a", 1))
-                want[i] = passage if n <= 50 else None
+                want[i] = k == 0 or n <= 50
+    whole = f"{own()} {own()}"
+    rows += [(900, whole, "en", "a", 1), (901, whole.replace(" ", " x ", 1), "en", "a", 1)]
     got = {x.doc_id: x.text for x in corpus_pipeline.repeated_strings_stage(spark, spark.createDataFrame(rows, SCHEMA).repartition(2), "").collect()}
-    for i, text, *_ in rows:
+    assert got[900] == whole and len(got[901]) < 40
+    for i, text, *_ in rows[:-2]:
         assert got[i] == text if want[i] else len(got[i]) < len(text) - 100, (i, want[i])
 
 
+CLASHES = ("id", "s", "times", "copy", "score", "threshold", "rejected", "_of", "_id", "_digest", "_kept", "raw", "d", "i", "digest", "left", "of", "node", "list", "root", "taken", "size")
+
+
+def test_clashing_columns(spark, sf_dir):
+    """Columns named like those used inside keep values and types through all stages."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = docs.select("*", *(F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")).alias(c) if k % 2 else (F.col("doc_id") * k).cast("int").alias(c) for k, c in enumerate(CLASHES)))
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert out.dtypes[: len(docs.dtypes)] == docs.dtypes
+        rows = out.collect()
+        assert rows and all(r[c] == (f"{c} {r.doc_id}" if k % 2 else r.doc_id * k) for r in rows for k, c in enumerate(CLASHES))
+    assert "copy_" in out.columns
+
+
 def test_run(spark, sf_dir):
     first, again = (sorted((r.doc_id, r.copy, r.text) for r in corpus_pipeline.run(spark, sf_dir).collect()) for _ in range(2))
     assert first == again and first
