@@ -6,10 +6,15 @@ folder and read again.
 
 1. toxicity: documents whose score reaches their language's threshold go.
 2. near_copies: of each group of similar documents (five-word shingles, 0.8 or more) the least id stays.
-3. repeated_strings: passages of over 50 words, or of 400 bytes, that stand elsewhere too go; texts that lose all go.
+3. repeated_strings: passages of over 50 words, or of 400 bytes, go where they stand again (the first stays); texts that
+   lose all go.
 4. benchmark: documents that hold a passage of the benchmark go.
 5. mix: sources are brought to their weights; a document stands as often as it is taken.
 
+Cases: columns of any name are kept as they are, also those named like ones used inside (the last stage adds `copy`, or
+`copy_` where there is one); null texts, ids and sources, repeated rows and empty tables are treated as each
+operator's docstring says; no documents, labels or benchmark items give what the other stages leave.
+
 SQL can't express the first three (a trained model, components, suffix arrays), so there is no ORACLE_SQL.
 """
 
@@ -21,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparksieve.llm import bytedup, decontam, mixing, simhash, toxicity
-from sparksieve.llm.common import ensure_checkpoint_dir, table, word_count
+from sparksieve.llm.common import ensure_checkpoint_dir, fresh, remove, table, word_count
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +51,10 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents taken, once for each time (copy: 1, 2, ...).  Texts without words add nothing and go."""
-    taken = mixing.mix(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))).filter("taken > 0")
-    times = taken.groupBy(F.col("doc_id").alias("id"), F.col("source").alias("s")).agg(F.max("times").cast("int").alias("times"))
-    both = docs.filter(word_count(F.col("text")) > 0).join(times, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("s")))
-    return both.select(*docs.columns, F.explode(F.sequence(F.lit(1), "times")).alias("copy"))
+    size, times, copy = fresh(docs, "size", "times", "copy")
+    sized = docs.withColumn(size, word_count(F.col("text"))).filter(F.col(size) > 0)
+    taken = mixing.with_times(sized, size, times).filter(F.col(times) > 0)
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))).alias(copy))
 
 
 STAGES = [("toxicity", toxicity_stage), ("near_copies", near_copies_stage), ("repeated_strings", repeated_strings_stage), ("benchmark", benchmark_stage), ("mix", mix_stage)]
@@ -57,11 +62,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mix made of the documents in sf_dir."""
+    """The mix made of the documents in sf_dir.  The last stage's files stay, for the result reads them."""
     ensure_checkpoint_dir(spark)
     base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4()}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}-{name}")
-        docs = spark.read.parquet(f"{base}/{i}-{name}")
+        path = f"{base}/{i}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)  # nothing reads it any more
+        before = path
     return docs
