@@ -11,7 +11,7 @@ URLs costs as much as any other.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import MAX_PORT, explicit_port, suffix_candidates
@@ -47,7 +47,13 @@ def best_domain_match(matches: DataFrame) -> DataFrame:
 
 def with_domain_verdict(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Adds domain_deny: true, false, or null where no rule matches."""
-    return urls.join(best_domain_match(domain_matches(authorities(urls), rules)), ["host", "port"], "left")
+    best = best_domain_match(domain_matches(authorities(urls), rules)).withColumnsRenamed({"host": "_host", "port": "_port"})
+    return urls.join(best, (spread(F.col("host"), F.col("url")) == F.col("_host")) & (F.col("port") == F.col("_port")), "left").drop("_host", "_port")
+
+
+def spread(key: Column, by: Column) -> Column:
+    """A join key whose nulls become values that equal none (with a NUL in front), so that rows without a key don't meet in one task."""
+    return F.coalesce(key, F.concat(F.lit("\0"), by))
 
 
 def needed_domain_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ with that prefix it takes: `=` the same path, `+` longer ones, `*` both.  Among
 then `=` or `+` over `*`, then deny.  Both schemes are expanded first and missing ports filled in after, so
 `//h:80/` means port 80 of http and of https; rules are made distinct after that.
 
-The longest-prefix join is an equi-join too.  Each authority's distinct prefix lengths are few; a URL path is
-cut to those lengths, and (scheme, host, port, cut path) is joined to the rules.  An authority with very many
-rules or URLs then makes no more rows than URLs times lengths.
+The longest-prefix join is an equi-join too.  A URL path is cut to the lengths that prefixes of its authority have,
+and (scheme, host, port, cut path) is joined to the rules.  Lengths are listed by authority and first HEAD characters
+(shorter prefixes, of at most HEAD lengths, under none), so a path is cut for the rules that begin as it does, not for
+all lengths that an authority with very many rules has.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from ..functions.urls import MAX_PORT, default_port, explicit_port
 
 KEY_PATTERN = r"(?s)^(?:(https?):)?//([^/:]*)(?::([0-9]{1,5}))?(/.*)?$"
 AUTHORITY = ["scheme", "host", "port"]
+#: Characters of a prefix by which its authority's lengths are told apart.
+HEAD = 8
 
 
 def expand_prefix_rules(lines: DataFrame) -> DataFrame:
@@ -42,11 +45,22 @@ def parse_prefix_rules(lines: DataFrame) -> DataFrame:
     return distinct_prefix_rules(expand_prefix_rules(lines))
 
 
+def path_keys(urls: DataFrame) -> DataFrame:
+    """Distinct (scheme, host, port, path) of the valid URLs."""
+    return urls.filter("valid").select(*AUTHORITY, "path").distinct()
+
+
 def prefix_matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Every rule that matches a distinct (scheme, host, port, path): with prefix, rng, deny."""
-    keys = urls.filter("valid").select(*AUTHORITY, "path").distinct()
-    lengths = rules.groupBy(*AUTHORITY).agg(F.collect_set(F.length("prefix")).alias("lengths"))
-    cut = keys.join(lengths, AUTHORITY).withColumn("size", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))))
+    return key_matches(path_keys(urls), rules)
+
+
+def key_matches(keys: DataFrame, rules: DataFrame) -> DataFrame:
+    """prefix_matches() of path_keys()."""
+    size = F.length("prefix")
+    lengths = rules.groupBy(*AUTHORITY, F.when(size >= HEAD, F.expr(f"left(prefix, {HEAD})")).otherwise("").alias("head")).agg(F.collect_set(size).alias("lengths"))
+    heads = F.when(F.length("path") >= HEAD, F.array(F.lit(""), F.expr(f"left(path, {HEAD})"))).otherwise(F.array(F.lit("")))
+    cut = keys.withColumn("head", F.explode(heads)).join(lengths, [*AUTHORITY, "head"]).withColumn("size", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))))
     cut = cut.select(*AUTHORITY, "path", F.expr("left(path, size)").alias("prefix"))
     found = cut.join(rules, [*AUTHORITY, "prefix"])
     fits = (F.col("rng") == "*") | ((F.col("rng") == "=") & (F.col("path") == F.col("prefix"))) | ((F.col("rng") == "+") & (F.col("path") != F.col("prefix")))
@@ -66,7 +80,12 @@ def with_prefix_verdict(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 def needed_prefix_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Rules of authorities that some URL has."""
-    return rules.join(urls.filter("valid").select(*AUTHORITY).distinct(), AUTHORITY, "left_semi")
+    return rules_of(urls.filter("valid"), rules)
+
+
+def rules_of(keys: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rules of the authorities that stand in keys."""
+    return rules.join(keys.select(*AUTHORITY).distinct(), AUTHORITY, "left_semi")
 
 
 def prefix_chain_depth(rules: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +13,7 @@ from .operators import domain as d
 from .operators import prefix as p
 from .plans.engine import counters, passing_tags, verdicts
 from .plans.inputs import INPUTS_SQL, derived
+from .sources.text import counter_lines, read_domain_rules, read_prefix_rules, read_urls, shared_folder, write_tags
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -255,3 +257,14 @@ def rules_sorted_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 for _old, _new in (("tag_number_query", "tag_number"), ("passing_tags_query", "passing_tags")):
     QUERIES[_new], SQL[_new] = QUERIES.pop(_old), SQL.pop(_old)
+
+
+@query("SELECT value FROM (SELECT tag AS value FROM judged WHERE passes UNION ALL SELECT unnest([count_if(passes)::VARCHAR, count_if(NOT passes)::VARCHAR, count_if(miss)::VARCHAR, printf('%08x', coalesce(bit_xor(CASE WHEN passes THEN ('0x' || tag)::BIGINT END), 0)), printf('%08x', coalesce(bit_xor(CASE WHEN NOT passes THEN ('0x' || tag)::BIGINT END), 0))]) AS value FROM judged)")
+def lines_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filter over text files: rules and URLs are written as text, read by the readers, judged, and the tags' file is read again, with the trailer's lines."""
+    base = f"{shared_folder(spark)}/filter-{uuid.uuid4()}"
+    for name, frame in derived(spark, sf_dir)._asdict().items():
+        frame.select(F.concat_ws("\t", *[c for c in frame.columns if c != "page_id"])).write.text(f"{base}/{name}")
+    judged = verdicts(read_urls(spark, f"{base}/urls"), read_domain_rules(spark, f"{base}/domain_rules"), read_prefix_rules(spark, f"{base}/prefix_rules"))
+    write_tags(passing_tags(judged), f"{base}/tags")
+    return spark.read.text(f"{base}/tags").unionByName(counter_lines(counters(judged)))

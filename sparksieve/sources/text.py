@@ -6,10 +6,23 @@ out by the rule operators; URLs that don't parse are kept as invalid and counted
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: the one in spark.checkpoint.dir, or a temporary one where everything is on one machine."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return sc._jsc.sc().getCheckpointDir().get()
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir names no folder that the executors share")
+    return named or tempfile.mkdtemp(prefix="filter-")
+
+
 def _columns(lines: DataFrame, names: list[str]) -> DataFrame:
     parts = F.split("value", "\t", -1)
     return lines.select(*[F.get(parts, i).alias(n) for i, n in enumerate(names)])

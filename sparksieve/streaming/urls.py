@@ -19,12 +19,14 @@ def start_filter(lines: DataFrame, domain_rules: DataFrame, prefix_rules: DataFr
     """Starts judging a streaming DataFrame (url, tag); a batch that is tried again replaces its own output."""
 
     def judge(batch: DataFrame, number: int) -> None:
-        judged = verdicts(batch, domain_rules, prefix_rules).persist()
+        kept: list[DataFrame] = []
+        judged = verdicts(batch, domain_rules, prefix_rules, kept).persist()
         try:
             passing_tags(judged).write.mode("overwrite").text(f"{tags_path}/batch={number}")
             counters(judged).write.mode("overwrite").parquet(f"{counters_path}/batch={number}")
         finally:
-            judged.unpersist()
+            for frame in (judged, *kept):
+                frame.unpersist()
 
     return lines.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

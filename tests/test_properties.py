@@ -3,6 +3,8 @@
 import random
 
 from sparksieve.__main__ import main
+from sparksieve.functions.urls import with_url_parts
+from sparksieve.operators import prefix as p
 from sparksieve.plans.engine import counters, verdicts
 from sparksieve.sources.text import read_urls
 from sparksieve.streaming.urls import start_filter, total_counters
@@ -90,3 +92,17 @@ def test_files_and_stream(spark, tmp_path, capsys):
     assert total_counters(spark.read.parquet(str(tmp_path / "counts"))).first() == plain
     assert spark.read.text(str(tmp_path / "tags")).count() == plain["pass"]
     assert read_urls(spark, str(tmp_path / "u")).count() == len(urls)
+
+
+def test_plan(spark):
+    """URLs are read for the keys and for the result only; rows without a key are spread; prefixes are cut for rules that begin alike."""
+    urls, domain, prefix = frames(spark, *made(3))
+    kept = []
+    plan = verdicts(urls, domain, prefix, kept)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("InMemoryRelation") >= 1 and plan.count("regexp_extract(u") <= 8 and len(kept) == 1
+    many = [(f"http://a.b/long/path/{i:04}" + "x" * i, "*", "-") for i in range(200)]
+    keys = p.path_keys(with_url_parts(spark.createDataFrame([("http://a.b/other/" + "y" * 500, "1"), ("http://a.b/long/path/0003xxxz", "2")], "url string, tag string")))
+    found = p.key_matches(keys, p.parse_prefix_rules(spark.createDataFrame(many, "key string, rng string, perm string"))).collect()
+    assert [(r.path, r.prefix) for r in found] == [("/long/path/0003xxxz", "/long/path/0003xxx")]
+    for k in kept:
+        k.unpersist()
