@@ -11,47 +11,53 @@ and `WARC-Target-URI` as the response has them; the metadata also names the conv
 The response's HTTP header lines and its payload digest go into the metadata unchanged, so the source can be
 checked.  Record ids are name-based UUIDs of the response's id and the record's type: reruns agree.
 
-write_warc() writes records through Spark's text sink (gzip), to any store that Spark writes to.
+write_warc() writes records through Spark's text sink, a gzip member each, and read_warc() reads files as streams
+through Spark's text source, from and to any store that Spark knows.  Pages are read in one pass, in time
+proportional to their length whatever their markup.
 
 Cases: null html is an empty payload, null url an empty target; a page of markup only has an empty text;
-repeated pages give equal records again; text that isn't closed markup is read to the end; extra columns are
-left out; no rows give no rows.
+repeated pages give equal records again; text that isn't closed markup is read to the end; bytes that are no UTF-8
+stay as they are in payloads and digests, and are replacement characters in texts; a response without a digest
+gets one; extra columns are left out; no rows give no rows.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import html
 import re
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+#: Bytes of a record in a gzip member (under 16 MB, see write_warc()).
+MEMBER = 8 << 20
 
 # Record names of WARC/1.1.
 VERSION = "WARC/1.1"
 FIELDS = "application/warc-fields"
 NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space of URLs in RFC 9562
 
-RESPONSES = "page_id long, record_id string, target_uri string, warc_date string, http_headers string, payload_digest string, payload string"
+RESPONSES = "page_id long, record_id string, target_uri string, warc_date string, http_headers string, payload_digest string, payload binary"
 RECORDS = (
     "page_id long, warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, "
     "content_length long, block_digest string, source_payload_digest string, source_http_headers string, record string, block string"
 )
 
 # Elements whose content isn't text of the page, and elements that end a line.
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|title)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_BREAK = re.compile(r"</?(?:p|div|br|hr|h[1-6]|ul|ol|li|dl|dt|dd|table|tr|article|section|header|footer|nav|aside|main|blockquote|pre|form|figure|figcaption|address|body|head|html)\b[^>]*>", re.I)
-_TAG = re.compile(r"<(?:/?[A-Za-z]|[!?])[^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+HIDDEN = frozenset("script style noscript template textarea svg title".split())
+BREAK = frozenset("p div br hr h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr article section header footer nav aside main blockquote pre form figure figcaption address body head html".split())
+# A tag or declaration: it ends at the next >, or isn't one.  Only text up to the last > is searched, so each match is taken whole and the search is linear.
+_TAG = re.compile(r"<(?:(!--)|(/?)([A-Za-z][A-Za-z0-9]*)|[A-Za-z!?/]+)")
+_ATTRIBUTE = re.compile(r"\b(lang|href)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _BLANKS = re.compile(r"[ \t\r\f\v\xa0]+")
+_LANG = re.compile(r"[A-Za-z0-9-]+")
 
 
 def digest(data: bytes) -> str:
@@ -62,22 +68,84 @@ def record_id(name: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMES, name)}>"
 
 
-def plain_text(page: str) -> str:
-    """The text of a page: hidden elements out, block elements as line ends, entities resolved, blanks collapsed."""
-    text = html.unescape(_TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub(" ", page))))
+class Page(NamedTuple):
+    text: str
+    title: str | None
+    language: str | None
+    links: list[str]
+
+
+def _attribute(tag: str, name: str) -> str | None:
+    """The first value of an attribute in a tag's text."""
+    for m in _ATTRIBUTE.finditer(tag):
+        if m[1].lower() == name:
+            return m[2] or m[3] or m[4] or ""
+    return None
+
+
+def read_page(page: str) -> Page:
+    """One pass over a page: hidden elements out, block elements as line ends, entities resolved, blanks collapsed; its title, language and outlinks."""
+    lower, close, size = page.lower() if page.isascii() else _ascii_lower(page), page.rfind(">"), len(page)
+    parts, links, title, language, at = [], [], None, None, 0
+    while at < size:
+        m = _TAG.search(page, at)
+        if not m:
+            break
+        if m[1]:  # a comment ends at --> or with the page
+            end = page.find("-->", m.end())
+            parts.append(page[at : m.start()] + " ")
+            at = size if end < 0 else end + 3
+            continue
+        end = page.find(">", m.end()) if m.end() <= close else -1
+        if end < 0:  # no tag begins after the last >
+            break
+        if not m[3] and not (m[0][1] in "!?" or m[0][1:2].isalpha() or m[0][1:3] == "/" and page[m.start() + 2 : m.start() + 3].isalpha()):
+            parts.append(page[at : m.end()])
+            at = m.end()
+            continue
+        name, tag = (m[3] or "").lower(), page[m.start() : end + 1]
+        parts.append(page[at : m.start()])
+        at = end + 1
+        if name in BREAK:
+            parts.append("\n")
+        if not m[2] and name == "html" and language is None:
+            found = _LANG.match(_attribute(tag, "lang") or "")
+            language = found[0] if found else None
+        elif not m[2] and name == "a":
+            link = _attribute(tag, "href")
+            links += [] if link is None else [one_line(html.unescape(link))]
+        elif not m[2] and name in HIDDEN:  # up to its end tag, or the page's end
+            stop = lower.find(f"</{name}", at)
+            while stop >= 0 and lower[stop + len(name) + 2 : stop + len(name) + 3].isalnum():
+                stop = lower.find(f"</{name}", stop + 1)
+            if name == "title" and title is None:
+                title = one_line(html.unescape(page[at : stop if stop >= 0 else size]))
+            end = page.find(">", stop) if stop >= 0 else -1
+            at = end + 1 if end >= 0 else size
+            parts.append(" ")
+    else:
+        at = size
+    text = html.unescape("".join([*parts, page[at:]]))
     lines = (_BLANKS.sub(" ", line).strip() for line in text.split("\n"))
-    return "\n".join(line for line in lines if line)
+    return Page("\n".join(line for line in lines if line), title, language, links)
+
+
+def _ascii_lower(text: str) -> str:
+    return text.translate({c: c + 32 for c in range(65, 91)})
+
+
+def plain_text(page: str) -> str:
+    return read_page(page).text
 
 
 def one_line(text: str) -> str:
     return " ".join(text.split())
 
 
-def page_fields(page: str) -> list[tuple[str, str]]:
-    title, lang = _TITLE.search(page), _LANG.search(page)
-    found = [("title", one_line(html.unescape(title[1])))] if title else []
-    found += [("language", lang[1])] if lang else []
-    return found + [("outlink", one_line(html.unescape(a or b or c))) for a, b, c in _LINK.findall(page)]
+def page_fields(page: Page) -> list[tuple[str, str]]:
+    found = [("title", page.title)] if page.title is not None else []
+    found += [("language", page.language)] if page.language else []
+    return found + [("outlink", x) for x in page.links]
 
 
 def serialized(headers: list[tuple[str, str]], block: bytes) -> str:
@@ -98,7 +166,7 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame
             for i, url, page in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 page, uri = page or "", one_line(url or "")
                 data = page.encode()
-                rows.append((i, record_id(f"{i} {uri} {digest(data)}"), uri, date, http_headers(len(data)), digest(data), page))
+                rows.append((i, record_id(f"{i} {uri} {digest(data)}"), uri, date, http_headers(len(data)), digest(data), data))
             yield _batch(rows, RESPONSES)
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, RESPONSES)
@@ -107,15 +175,16 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     named = [x.strip().split(" ") for x in schema.split(",")]
     columns = zip(*rows, strict=True) if rows else [[]] * len(named)
-    return pa.RecordBatch.from_arrays([pa.array(c, {"long": pa.int64(), "string": pa.string()}[t]) for c, (_, t) in zip(columns, named, strict=True)], [k for k, _ in named])
+    return pa.RecordBatch.from_arrays([pa.array(c, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[t]) for c, (_, t) in zip(columns, named, strict=True)], [k for k, _ in named])
 
 
 def derive(row: tuple) -> list[tuple]:
     """The metadata and the conversion of one response."""
     page, source, uri, date, http, payload_digest, payload = row
-    text = plain_text(payload).encode()
+    read = read_page(payload.decode("utf-8", "replace"))
+    text = read.text.encode()
     ids = {kind: record_id(f"{source} {kind}") for kind in ("metadata", "conversion")}
-    fields = [*page_fields(payload), ("textLength", str(len(text))), ("sourcePayloadDigest", payload_digest), *(("sourceHeader", one_line(h)) for h in http.split("\r\n") if h)]
+    fields = [*page_fields(read), ("textLength", str(len(text))), ("sourcePayloadDigest", payload_digest or digest(payload)), *(("sourceHeader", h) for h in http.split("\r\n") if h)]
     blocks = {"metadata": (FIELDS, "".join(f"{k}: {v}\r\n" for k, v in fields).encode(), [("WARC-Concurrent-To", ids["conversion"])]), "conversion": ("text/plain; charset=utf-8", text, [])}
     out = []
     for kind, (content, block, more) in blocks.items():
@@ -141,63 +210,107 @@ def derivatives(found: DataFrame) -> DataFrame:
 
 
 def write_warc(records: DataFrame, path: str, files: int | None = None) -> None:
-    """Writes the column `record` as .gz files of WARC records."""
-    out = records.select("record")
+    """Writes the column `record` (string or binary) as .warc.gz files with a gzip member for each record.
+
+    Spark's text sink ends each row with a line separator of one zero byte, which is the last byte of a member of
+    under 16 MB (its size, low byte first); a longer record is several members.  Files get their names at the end.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for record in b.column(0):
+                data = record.as_buffer().to_pybytes() + b"\r\n\r\n"
+                members = b"".join(gzip.compress(data[i : i + MEMBER], 6, mtime=0) for i in range(0, len(data), MEMBER))
+                yield pa.RecordBatch.from_arrays([pa.array([members[:-1]], pa.binary())], ["value"])
+
+    out = records.select(F.col("record").cast("binary").alias("record"))
     out = out.repartition(files) if files else out
-    # Each row ends with the two line ends that close a record.
-    out.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    out.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
+    jvm, spark = records.sparkSession._jvm, records.sparkSession
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in store.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("part-"):
+            store.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(folder, name.removesuffix(".txt") + ".warc.gz"))
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers by lower-case name, block) of each record."""
     at = 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        first, *lines = data[at:end].decode("utf-8", "surrogateescape").split("\r\n")
-        if not first.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        headers, start = parse_headers(data, at)
         size = int(headers["content-length"])
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        yield headers, data[start : start + size]
+        at = start + size + 4
+
+
+def parse_headers(data: bytes, at: int = 0) -> tuple[dict[str, str], int]:
+    """Headers by lower-case name, and where the block begins."""
+    end = data.index(b"\r\n\r\n", at)
+    first, *lines = data[at:end].decode("utf-8", "replace").split("\r\n")
+    if not first.startswith("WARC/"):
+        raise ValueError(f"no WARC record at byte {at}")
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, end + 4
+
+
+_BETWEEN = b"\r\n\r\nWARC/"
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(headers map, block binary) of all records of the WARC files at `path`, plain or gzip; a file must fit in a task."""
+    """(headers map, block binary) of all records of the WARC files at `path`, plain or gzip, of any size.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gzip
+    Spark's text source reads files as streams, cut where a record may begin; a piece that is shorter than its record
+    says is joined to the next ones of its file.  So a task holds a record at a time.  A file that is cut within a
+    record is an error.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.map_(pa.string(), pa.string()), pa.binary()]
+        of, held, headers, start, need = None, [], {}, 0, 0
         for b in batches:
-            for content in b.column(0):
-                data = content.as_buffer().to_pybytes()
-                got = [*parse_warc(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)]
-                yield pa.RecordBatch.from_arrays([pa.array([[*h.items()] for h, _ in got], kinds[0]), pa.array([x for _, x in got], kinds[1])], ["headers", "block"])
-
-    files = spark.read.format("binaryFile").load(path).select("content").repartition(shuffle_partitions(spark))
-    return files.mapInArrow(run, "headers map<string,string>, block binary")
+            for file, value in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                piece = value.as_buffer().to_pybytes()
+                if held and file != of:
+                    raise ValueError(f"{of} ends within a record")
+                if held:
+                    held.append(_BETWEEN + piece)
+                else:
+                    of, held = file, [piece if piece.startswith(b"WARC/") else b"WARC/" + piece]
+                    headers, start = parse_headers(held[0])
+                    need = start + int(headers["content-length"])
+                if sum(map(len, held)) >= need:
+                    yield pa.RecordBatch.from_arrays([pa.array([[*headers.items()]], kinds[0]), pa.array([b"".join(held)[start:need]], kinds[1])], ["headers", "block"])
+                    held = []
+        if held:
+            raise ValueError(f"{of} ends within a record")
+
+    pieces = spark.read.option("lineSep", _BETWEEN.decode()).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
+    return pieces.mapInArrow(run, "headers map<string,string>, block binary")
 
 
 def response_records(responses_table: DataFrame) -> DataFrame:
     """Adds `record`, the serialized response, for write_warc()."""
-    block = F.concat("http_headers", "payload")
+    block = F.concat(F.col("http_headers").cast("binary"), F.col("payload"))
     line = lambda k, v: F.concat(F.lit(f"{k}: "), v, F.lit("\r\n"))
-    return responses_table.withColumn(
-        "record",
-        F.concat(
-            F.lit(f"{VERSION}\r\nWARC-Type: response\r\n"), line("WARC-Record-ID", F.col("record_id")), line("WARC-Date", F.col("warc_date")), line("WARC-Target-URI", F.col("target_uri")),
-            line("WARC-Payload-Digest", F.col("payload_digest")), F.lit("Content-Type: application/http; msgtype=response\r\n"), line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"), block,
-        ),
+    head = F.concat(
+        F.lit(f"{VERSION}\r\nWARC-Type: response\r\n"), line("WARC-Record-ID", F.col("record_id")), line("WARC-Date", F.col("warc_date")), line("WARC-Target-URI", F.col("target_uri")),
+        line("WARC-Payload-Digest", F.col("payload_digest")), F.lit("Content-Type: application/http; msgtype=response\r\n"), line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"),
     )
+    return responses_table.withColumn("record", F.concat(head.cast("binary"), block))
 
 
 def responses_from(read: DataFrame) -> DataFrame:
-    """Response records (RESPONSES) from read_warc(); page_id is null, as WARC has none."""
-    split = F.locate("\r\n\r\n", F.decode("block", "UTF-8"))
-    text = F.decode("block", "UTF-8")
-    h = lambda k: F.element_at("headers", k)
-    return read.filter(h("warc-type") == "response").select(
-        F.lit(None).cast("long").alias("page_id"), h("warc-record-id").alias("record_id"), h("warc-target-uri").alias("target_uri"), h("warc-date").alias("warc_date"),
-        F.substring(text, F.lit(1), split + 3).alias("http_headers"), h("warc-payload-digest").alias("payload_digest"), F.substring(text, split + 4, F.lit(1 << 30)).alias("payload"),
-    )
+    """Response records (RESPONSES) from read_warc(), their payloads' bytes as they are; page_id is null, as WARC has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for pairs, block in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                h, data = dict(pairs), block.as_buffer().to_pybytes()
+                at = data.find(b"\r\n\r\n") + 4
+                at = at if at > 3 else 0
+                rows.append((None, h.get("warc-record-id"), h.get("warc-target-uri", ""), h.get("warc-date", ""), data[:at].decode("latin-1"), h.get("warc-payload-digest") or digest(data[at:]), data[at:]))
+            yield _batch(rows, RESPONSES)
+
+    return read.filter(F.element_at("headers", "warc-type") == "response").select("headers", "block").mapInArrow(run, RESPONSES)
