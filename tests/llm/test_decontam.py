@@ -2,7 +2,9 @@ import random
 import re
 from collections import Counter
 
-from sparksieve.llm.decontam import SHINGLE, SIMILARITY, benchmark_matches, without_benchmark
+import pyarrow as pa
+
+from sparksieve.llm.decontam import BLOCK_RADIUS, RADIUS, SHINGLE, SIMILARITY, _bits, benchmark_matches, shingles, simhash, without_benchmark
 
 SCHEMA = "doc_id long, text string, item_id long, n int"
 
@@ -65,6 +67,35 @@ def test_matches_brute_force(spark):
         assert sorted([x.doc_id for x in kept], key=repr) == sorted([d for d, _ in docs if d not in hit], key=repr)
 
 
+def test_recall_of_the_radius():
+    """Windows of similarity 0.80 to 0.85 whose fingerprints the index finds, edits being scattered or in one piece."""
+    r = random.Random(31)
+    near = [v for v in range(256) if v.bit_count() <= BLOCK_RADIUS]
+    found = total = 0
+    for k in range(1500):
+        n = r.choice([30, 60, 120, 300])
+        item = [r.getrandbits(40) for _ in range(n)]
+        other = list(item)
+        lost = int(n * 0.1)
+        if k % 2:  # scattered words, each in five shingles
+            for _ in range(max(1, lost // 5)):
+                other[r.randrange(n)] = r.getrandbits(40)
+        else:
+            at = r.randrange(n - lost)
+            other[at : at + max(1, lost - 4)] = [r.getrandbits(40) for _ in range(max(1, lost - 4))]
+        texts = pa.array([" ".join(map(str, x)) for x in (item, other)])
+        s = shingles(texts)
+        a, b = s.hashes[s.first[0] : s.first[1]], s.hashes[s.first[1] : s.first[2]]
+        shared = len(set(a.tolist()) & set(b.tolist()))
+        if not 0.8 <= shared / (len(a) + len(b) - shared) <= 0.85:
+            continue
+        x, y = (simhash(_bits(h).sum(axis=0)[None])[0] for h in (a, b))
+        blocks = [p ^ q for p, q in zip(x.tobytes(), y.tobytes())]
+        found += any(v in near for v in blocks) and int(x ^ y).bit_count() <= RADIUS
+        total += 1
+    assert total >= 200 and found / total >= 0.999, (found, total)
+
+
 def test_empty_tables(spark):
     docs, items = made(1)
     frame = spark.createDataFrame([(d, t, 7, 1) for d, t in docs], SCHEMA)
