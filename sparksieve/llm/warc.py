@@ -50,11 +50,12 @@ RECORDS = (
     "content_length long, block_digest string, source_payload_digest string, source_http_headers string, record string, block string"
 )
 
-# Elements whose content isn't text of the page, and elements that end a line.
-HIDDEN = frozenset("script style noscript template textarea svg title".split())
-BREAK = frozenset("p div br hr h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr article section header footer nav aside main blockquote pre form figure figcaption address body head html".split())
-# A tag or declaration: it ends at the next >, or isn't one.  Only text up to the last > is searched, so each match is taken whole and the search is linear.
-_TAG = re.compile(r"<(?:(!--)|(/?)([A-Za-z][A-Za-z0-9]*)|[A-Za-z!?/]+)")
+# Elements whose content isn't text of the page, and elements that end a line.  A pattern that looks for a > is used on text that ends with one
+# only, so each place where it begins to match is taken whole, and time is proportional to the text.
+_HIDDEN = re.compile(r"<!--.*?(-->|\Z)|<(script|style|noscript|template|textarea|svg|title)\b[^>]*>(.*?)(</\2\s*>|\Z)", re.S | re.I)
+_BREAK = re.compile(r"</?(?:p|div|br|hr|h[1-6]|ul|ol|li|dl|dt|dd|table|tr|article|section|header|footer|nav|aside|main|blockquote|pre|form|figure|figcaption|address|body|head|html)\b[^>]*>", re.I)
+_TAG = re.compile(r"<(?:/?[A-Za-z]|[!?])[^>]*>")
+_OPEN = re.compile(r"<(a|html)\b[^>]*>", re.I)
 _ATTRIBUTE = re.compile(r"\b(lang|href)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _BLANKS = re.compile(r"[ \t\r\f\v\xa0]+")
 _LANG = re.compile(r"[A-Za-z0-9-]+")
@@ -83,57 +84,39 @@ def _attribute(tag: str, name: str) -> str | None:
     return None
 
 
+def _closed(text: str) -> int:
+    return text.rfind(">") + 1
+
+
 def read_page(page: str) -> Page:
-    """One pass over a page: hidden elements out, block elements as line ends, entities resolved, blanks collapsed; its title, language and outlinks."""
-    lower, close, size = page.lower() if page.isascii() else _ascii_lower(page), page.rfind(">"), len(page)
-    parts, links, title, language, at = [], [], None, None, 0
-    while at < size:
-        m = _TAG.search(page, at)
-        if not m:
-            break
-        if m[1]:  # a comment ends at --> or with the page
-            end = page.find("-->", m.end())
-            parts.append(page[at : m.start()] + " ")
-            at = size if end < 0 else end + 3
-            continue
-        end = page.find(">", m.end()) if m.end() <= close else -1
-        if end < 0:  # no tag begins after the last >
-            break
-        if not m[3] and not (m[0][1] in "!?" or m[0][1:2].isalpha() or m[0][1:3] == "/" and page[m.start() + 2 : m.start() + 3].isalpha()):
-            parts.append(page[at : m.end()])
-            at = m.end()
-            continue
-        name, tag = (m[3] or "").lower(), page[m.start() : end + 1]
-        parts.append(page[at : m.start()])
-        at = end + 1
-        if name in BREAK:
-            parts.append("\n")
-        if not m[2] and name == "html" and language is None:
-            found = _LANG.match(_attribute(tag, "lang") or "")
-            language = found[0] if found else None
-        elif not m[2] and name == "a":
-            link = _attribute(tag, "href")
+    """Hidden elements out, block elements as line ends, entities resolved, blanks collapsed; title, language and outlinks of what is shown."""
+    end = _closed(page)
+    parts, title, at, rest = [], None, 0, page[end:]
+    for m in _HIDDEN.finditer(page[:end]):
+        parts += [page[at : m.start()], " "]
+        at = m.end()
+        if title is None and m[2] and m[2].lower() == "title":
+            title = one_line(html.unescape(m[3]))
+        if not (m[4] if m[2] else m[1]):  # not closed: hidden to the page's end
+            rest = ""
+    comment = rest.find("<!--")
+    shown = "".join([*parts, page[at:end], rest if comment < 0 else rest[:comment]])
+    end = _closed(shown)
+    language, links = None, []
+    for m in _OPEN.finditer(shown[:end]):
+        if len(m[1]) == 1:
+            link = _attribute(m[0], "href")
             links += [] if link is None else [one_line(html.unescape(link))]
-        elif not m[2] and name in HIDDEN:  # up to its end tag, or the page's end
-            stop = lower.find(f"</{name}", at)
-            while stop >= 0 and lower[stop + len(name) + 2 : stop + len(name) + 3].isalnum():
-                stop = lower.find(f"</{name}", stop + 1)
-            if name == "title" and title is None:
-                title = one_line(html.unescape(page[at : stop if stop >= 0 else size]))
-            end = page.find(">", stop) if stop >= 0 else -1
-            at = end + 1 if end >= 0 else size
-            parts.append(" ")
-    else:
-        at = size
-    text = html.unescape("".join([*parts, page[at:]]))
-    lines = (_BLANKS.sub(" ", line).strip() for line in text.split("\n"))
+        elif language is None:
+            found = _LANG.match(_attribute(m[0], "lang") or "")
+            language = found[0] if found else None
+    for pattern, to in ((_BREAK, "\n"), (_TAG, "")):
+        end = _closed(shown)
+        shown = pattern.sub(to, shown[:end]) + shown[end:]
+    lines = (_BLANKS.sub(" ", line).strip() for line in html.unescape(shown).split("\n"))
     return Page("\n".join(line for line in lines if line), title, language, links)
 
 
-def _ascii_lower(text: str) -> str:
-    return text.translate({c: c + 32 for c in range(65, 91)})
-
-
 def plain_text(page: str) -> str:
     return read_page(page).text
 
