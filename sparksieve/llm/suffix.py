@@ -4,8 +4,9 @@ The steps are those of induced sorting, each as array operations:
 
 1. Suffixes are classified: S if smaller than the next suffix, L if larger; LMS if S after an L.
 2. LMS substrings (from one LMS place to the next) get names in their order.  The names in text order are a
-   shorter text, whose suffixes are sorted by recursion: ranks of runs of 2h names from ranks of runs of h, until
-   runs are longer than the strings asked for.
+   shorter text, whose suffixes are sorted by these steps again, until all names differ.  Many different names are
+   written as two digits each (equally long, so they compare as their digits do): then a text has few letters at
+   each depth, and a bucket's work is done on arrays that are worth a step.
 3. Sorted LMS suffixes induce the L suffixes, bucket by bucket upwards, and those induce the S suffixes, bucket by
    bucket downwards.  A bucket's suffixes induce their predecessors in one step; only predecessors in the same
    bucket need further steps.
@@ -21,6 +22,8 @@ from __future__ import annotations
 import numpy as np
 
 SAMPLED = 32
+#: Different names that a text may have, and a name for each so many places more, before they are written as two digits.
+FEW = 256
 
 
 def _classified(text: np.ndarray) -> np.ndarray:
@@ -37,18 +40,20 @@ def _classified(text: np.ndarray) -> np.ndarray:
 
 
 def _names(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """Ranks of the LMS substrings.  Bytes with their class: then none is a prefix of another."""
+    """Ranks of the LMS substrings.  Letters with their class: then none is a prefix of another."""
     size = np.diff(np.append(lms, lms[-1])) + 1
-    symbol = np.concatenate([text.astype(np.int64) * 2 + smaller, np.zeros(8, np.int64)])
+    wide = (2 * int(text.max()) + 2).bit_length()
+    step = 62 // wide
+    symbol = np.concatenate([text.astype(np.int64) * 2 + smaller, np.zeros(step + 2, np.int64)])
 
     def key(at: np.ndarray, left: np.ndarray) -> np.ndarray:
         out = np.zeros(len(at), np.int64)
-        for t in range(6):
-            out = (out << 10) | np.where(t < left, symbol[np.minimum(at + t, len(symbol) - 1)] + 1, 0)
+        for t in range(step):
+            out = (out << wide) | np.where(t < left, symbol[np.minimum(at + t, len(symbol) - 1)] + 1, 0)
         return out
 
     _, name = np.unique(key(lms, size), return_inverse=True)
-    done, active = 6, np.flatnonzero(size > 6)
+    done, active = step, np.flatnonzero(size > step)
     while len(active):
         more = key(lms[active] + done, size[active] - done)
         order = np.lexsort((more, name[active]))
@@ -65,86 +70,91 @@ def _names(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray) -> np.ndarray
         own[order] = rank
         name = before[name]
         name[active] += own
-        done += 6
+        done += step
         active = active[size[active] > done]
     return name
 
 
-def _sorted_lms(name: np.ndarray, length: int) -> np.ndarray:
-    """The order of the shorter text's suffixes, by `length` bytes at least (LMS places are two bytes apart or more)."""
-    n, h, rank = len(name), 1, name
-    while 2 * h <= length + 2 and int(rank.max()) + 1 < n:
-        later = np.zeros(n, np.int64)
-        later[: n - h] = rank[h:] + 1 if h < n else 0
-        _, rank = np.unique(rank * np.int64(n + 1) + later, return_inverse=True)
-        h *= 2
-    return np.argsort(rank, kind="stable")
-
-
-def _deal(places: np.ndarray, letters: np.ndarray, into: list[list[np.ndarray]]) -> None:
-    """Appends places to their letters' lists, in their order."""
-    if not len(places):
+def _sorted_lms(name: np.ndarray, n: int, length: int) -> np.ndarray:
+    """The order of the shorter text's suffixes, of which `name` ends with the least; n letters, of which `length` count, made it."""
+    kinds = int(name.max()) + 1
+    if kinds == len(name):
+        order = np.empty(kinds, np.int64)
+        order[name] = np.arange(kinds)
+        return order
+    length = length // 2 + 1  # LMS places are two letters apart or more
+    if length == 1:
+        return np.argsort(name, kind="stable")
+    if kinds <= FEW + len(name) // FEW or 2 * len(name) > 0.9 * n:
+        return suffix_array(name.astype(np.int32), length)
+    base = int(np.ceil(np.sqrt(kinds)))
+    digits = np.empty(2 * len(name) - 1, np.int32)
+    digits[:-1:2], digits[1::2] = name[:-1] // base + 1, name[:-1] % base + 1
+    digits[-1] = 0
+    array = suffix_array(digits, 2 * length)
+    return array[array % 2 == 0] // 2
+
+
+def _deal(places: np.ndarray, letters: np.ndarray, array: np.ndarray, edge: np.ndarray, way: int) -> None:
+    """Puts places into their letters' buckets of the array, in their order, from each bucket's edge upwards or downwards (way), and moves the edges."""
+    if len(places) < 2:
+        for place, c in zip(places, letters, strict=True):
+            array[edge[c]] = place
+            edge[c] += way
         return
     order = np.argsort(letters, kind="stable")
-    places, letters = places[order], letters[order]
-    cut = np.flatnonzero(letters[1:] != letters[:-1]) + 1
-    begin = np.concatenate([[0], cut])
-    for a, b, c in zip(begin.tolist(), [*cut.tolist(), len(places)], letters[begin].tolist(), strict=True):
-        into[c].append(places[a:b])
-
-
-def _cat(parts: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    letters = letters[order]
+    begin = np.concatenate([[0], (letters[1:] != letters[:-1]).nonzero()[0] + 1])
+    heads = letters[begin]
+    size = np.concatenate([begin[1:], [len(places)]]) - begin
+    array[np.repeat(edge[heads] - way * begin, size) + way * np.arange(len(places))] = places[order]
+    edge[heads] += way * size
 
 
 def suffix_array(text: np.ndarray, length: int) -> np.ndarray:
-    """Suffixes of text (int16, ends with a letter less than all others) in the order of their first `length` letters at least."""
+    """Suffixes of text (integers from 0, ends with a letter less than all others) in the order of their first `length` letters at least."""
     n, letters = len(text), int(text.max()) + 1
+    if letters <= 1 << 15:
+        text = text.astype(np.int16, copy=False)  # which numpy sorts by radix
     smaller = _classified(text)
     lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
     if not len(lms):
         return np.arange(n - 1, -1, -1, dtype=np.int32)
-    ordered = lms[_sorted_lms(_names(text, smaller, lms), length)].astype(np.int32)
-    before = np.concatenate([[0], text[:-1]]).astype(np.int16)
+    ordered = lms[_sorted_lms(_names(text, smaller, lms), n, length)].astype(np.int32)
+    ordered = ordered[np.argsort(text[ordered], kind="stable")]  # in order already but for what `length` left open
+    starts = np.searchsorted(text[ordered], np.arange(letters + 1)).tolist()
+    before = np.concatenate([text[:1], text[:-1]])
     larger_before = np.concatenate([[False], ~smaller[:-1]])
     smaller_before = np.concatenate([[False], smaller[:-1]])
 
-    first: list[list[np.ndarray]] = [[] for _ in range(letters)]
-    starts: list[list[np.ndarray]] = [[] for _ in range(letters)]
-    _deal(ordered, text[ordered], starts)
-    large = []
+    # A letter's bucket: its L suffixes, then its S suffixes.
+    begin = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=letters))])
+    middle = (begin[:-1] + np.bincount(text[~smaller], minlength=letters)).tolist()
+    array = np.empty(n, np.int32)
+    array[0] = n - 1
+    edge = begin[:-1].copy()
     for c in range(letters):
-        own, now = [], _cat(first[c])
-        while len(now):
-            own.append(now)
+        done, filled = int(begin[c]), int(edge[c])
+        while done < filled:
+            now = array[done:filled]
             now = now[larger_before[now]]
-            letter = before[now]
-            same = letter == c
-            _deal(now[~same] - 1, letter[~same], first)
-            now = now[same] - 1
-        large.append(_cat(own))
-        for s in starts[c]:  # what stands before an LMS place is larger
-            _deal(s - 1, before[s], first)
-
-    last: list[list[np.ndarray]] = [[] for _ in range(letters)]
-    small: list[np.ndarray] = [np.zeros(0, np.int32)] * letters
-    for c in range(letters - 1, -1, -1):
-        own, now = [], _cat(last[c])
-        while len(now):
-            own.append(now)
+            _deal(now - 1, before[now], array, edge, 1)
+            done, filled = filled, int(edge[c])
+        now = ordered[starts[c] : starts[c + 1]]  # what stands before an LMS place is larger
+        _deal(now - 1, before[now], array, edge, 1)
+
+    edge = begin[1:] - 1
+    for c in range(letters - 1, 0, -1):
+        done, filled = int(begin[c + 1]) - 1, int(edge[c])
+        while done > filled:
+            now = array[filled + 1 : done + 1][::-1]
             now = now[smaller_before[now]]
-            letter = before[now]
-            same = letter == c
-            _deal(now[~same] - 1, letter[~same], last)
-            now = now[same] - 1
-        small[c] = _cat(own)
-        now = large[c][::-1]
+            _deal(now - 1, before[now], array, edge, -1)
+            done, filled = filled, int(edge[c])
+        now = array[int(begin[c]) : middle[c]][::-1]
         now = now[smaller_before[now]]
-        _deal(now - 1, before[now], last)
-    parts = [np.array([n - 1], np.int32)]
-    for c in range(letters):
-        parts += [large[c], small[c][::-1]]
-    return np.concatenate(parts)
+        _deal(now - 1, before[now], array, edge, -1)
+    return array
 
 
 def _common(words: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from sparksieve.llm import suffix
 from sparksieve.llm.bytedup import dedup_bytes, without_repeats
 from sparksieve.llm.suffix import repeated_starts, suffix_array
 
@@ -19,6 +20,19 @@ def test_suffix_array():
         assert suffix_array(np.array(text, np.int16), 100).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
 
 
+@pytest.mark.parametrize("few", [4, 64, 256])
+def test_suffix_array_by_recursion(few, monkeypatch):
+    """Few names a depth make it go on with digits, many with the names themselves."""
+    monkeypatch.setattr(suffix, "FEW", few)
+    r = random.Random(few)
+    for letters in (2, 4, 40, 250):
+        passage = r.choices(range(2, letters + 2), k=300)
+        text = [r.randint(2, letters + 1) for _ in range(500)] + passage + [1] + passage[50:] + [2] * 60 + passage[:200] + [0]
+        assert suffix_array(np.array(text, np.int16), len(text)).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+        short = suffix_array(np.array(text, np.int16), 20).tolist()
+        assert [text[i : i + 20] for i in short] == sorted(text[i : i + 20] for i in range(len(text)))
+
+
 def test_repeated_starts():
     r = random.Random(2)
     for _ in range(200):
