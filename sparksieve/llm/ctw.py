@@ -7,10 +7,12 @@ weights of context-tree weighting: P_w = (P_e + product of the children's P_w) /
 A text's score is the log10 of its probability; divided by log10(2) and its bytes it is the code length per byte.
 
 Counts come from all training texts.  Chunks send their distinct (context, byte) strings with counts; a bucket
-holds all strings of the contexts whose last two bytes it owns, so it has the whole subtrees from depth 2 on.
-Depths 0 and 1 have at most 257 contexts of 255 decisions: their sums over buckets, at most 65,535 rows, come to
-the driver and go out with the second pass, in which buckets answer each chunk's strings with log probabilities.
-So the tables of contexts grow with the corpus and are never in one place.
+holds all strings of the contexts it owns, with their whole subtrees.  A bucket owns contexts by a hash of their last
+two bytes, but contexts that hold more than 1 / SHARE of the chunks' strings are split by one byte more, as often as
+needed, so a common pair of bytes doesn't meet in one bucket.  Depths 0 and 1 have at most 257 contexts, and fewer
+than 2 * SHARE are split at each depth, each with 255 decisions: their sums over buckets are of bounded number, come
+to the driver and go out with the second pass, in which buckets answer each chunk's strings with log probabilities.
+So the tables of contexts grow with the corpus and are never in one place.  What is split changes no score.
 
 A word model goes with it as a base line: additive smoothing over words and one end mark a text.
 
@@ -29,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Answers, Texts, answer, ask, buckets, chunk_words, chunked, finish, lower_ascii, mix64, planes, split_sorted, unplanes
+from .chunks import Answers, Texts, answer, ask, buckets, chunk_words, chunked, finish, groups, lower_ascii, mix64, planes, split_sorted, unplanes
 from .common import saved
 
 DEPTH = 5
 END = 0xFF  # no byte of UTF-8
 #: Bytes of text whose strings are counted at a time.
 COUNTED = 1 << 21
+#: A context with this part of all strings or more is split over buckets.
+SHARE = 512
 
 SCHEMA = "doc_id long, held_out boolean, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -105,9 +109,52 @@ def _unpacked(blob: bytes, shift: int) -> tuple[np.ndarray, np.ndarray]:
 STRING_SHIFT = 64 - 8 * (DEPTH + 1)
 
 
-def by_bucket(key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order that puts strings of a bucket together, and the buckets' offsets in it; a bucket owns pairs of latest bytes."""
-    bucket = (mix64((key >> np.uint64(8 * (DEPTH - 1))) + np.uint64(1)) % np.uint64(n)).astype(np.int64)
+#: Contexts that are split, sorted, by their depth (2 to DEPTH - 1).
+Split = dict[int, np.ndarray]
+
+
+def context(key: np.ndarray, depth: int) -> np.ndarray:
+    return key >> np.uint64(8 * (DEPTH + 1 - depth))
+
+
+def common_contexts(chunks: DataFrame, hold_out: int, share: int = SHARE) -> Split:
+    """All contexts with 1 / share of the chunks' distinct strings or more, and none with half of that or less.
+
+    A chunk names those with half of that part of its own strings, so no more than 2 * share a depth; what a context
+    has in chunks that don't name it is less than half of 1 / share of all.
+    """
+
+    def count(texts: Texts, _: Answers) -> Iterator[pa.RecordBatch]:
+        key, _ = counted(texts, ~held_out(texts, hold_out))
+        rows = [(np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([len(key)]))]
+        for d in range(2, DEPTH):
+            new = np.flatnonzero(groups(context(key, d)))
+            size = np.diff(np.append(new, len(key)))
+            own = new[2 * share * size >= len(key)]
+            rows.append((np.full(len(own), d), context(key[own], d).astype(np.int64), size[2 * share * size >= len(key)]))
+        depth, at, size = (np.concatenate(c) for c in zip(*rows, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(depth, pa.int32()), pa.array(at, pa.int64()), pa.array(size, pa.int64())], ["depth", "context", "n"])
+
+    named = saved(finish(chunks, [], count, "depth int, context long, n long").groupBy("depth", "context").agg(F.sum("n").alias("n")))
+    total = sum(r.n for r in named.where("depth = 0").collect())
+    rows = named.where((F.col("depth") > 0) & (F.col("n") * (2 * share) > total)).collect()
+    return {d: np.array(sorted(r.context for r in rows if r.depth == d), np.uint64) for d in range(2, DEPTH)}
+
+
+def roots(key: np.ndarray, split: Split) -> np.ndarray:
+    """The depth of the context by which each string's bucket is chosen: the least that isn't split."""
+    depth = np.full(len(key), 2)
+    for d in range(2, DEPTH):
+        if len(split[d]):
+            depth[(depth == d) & np.isin(context(key, d), split[d])] += 1
+    return depth
+
+
+def by_bucket(key: np.ndarray, n: int, split: Split) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts strings of a bucket together, and the buckets' offsets in it."""
+    depth = roots(key, split)
+    owner = (key >> (np.uint64(8) * (DEPTH + 1 - depth).astype(np.uint64))) << np.uint64(3) | depth.astype(np.uint64)
+    bucket = (mix64(owner) % np.uint64(n)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     return order, np.searchsorted(bucket[order], np.arange(n + 1))
 
@@ -132,18 +179,18 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Level:
-    """The decisions of one bit of all strings of a bucket, at depths 2 to DEPTH."""
+    """The decisions of one bit of strings of a bucket, at depths `least` to DEPTH."""
 
-    def __init__(self, key: np.ndarray, count: np.ndarray, bit: int):
+    def __init__(self, key: np.ndarray, count: np.ndarray, bit: int, least: int):
+        self.least = least
         byte = (key & np.uint64(0xFF)).astype(np.int64)
         self.bit = (byte >> (7 - bit)) & 1
         self.node = (1 << bit) | (byte >> (8 - bit))
         zeros, ones = count * (1 - self.bit), count * self.bit
         self.own, self.zeros, self.ones, self.log_e, self.below = {}, {}, {}, {}, {}
         weighted = None
-        for d in range(DEPTH, 1, -1):
-            context = (key >> np.uint64(8 * (DEPTH + 1 - d))) << np.uint64(8) | self.node.astype(np.uint64)
-            _, own = np.unique(context, return_inverse=True)
+        for d in range(DEPTH, least - 1, -1):
+            _, own = np.unique(context(key, d) << np.uint64(8) | self.node.astype(np.uint64), return_inverse=True)
             n = int(own.max()) + 1
             self.own[d] = own
             self.zeros[d], self.ones[d] = np.bincount(own, zeros, n), np.bincount(own, ones, n)
@@ -155,7 +202,7 @@ class Level:
                 parent[self.own[d + 1]] = own
                 self.below[d] = np.bincount(parent, weighted, n)
                 weighted = np.logaddexp(self.log_e[d], self.below[d]) - np.log(2)
-        self.weighted = weighted  # of depth 2
+        self.weighted = weighted  # of depth `least`
 
     def chance(self, d: int) -> np.ndarray:
         """The estimate, at depth d, of each string's bit."""
@@ -163,43 +210,58 @@ class Level:
         return (np.where(self.bit > 0, ones, zeros) + 0.5) / (zeros + ones + 1.0)
 
     def mixed(self) -> np.ndarray:
-        """The probability of each string's bit, mixed over depths 2 to DEPTH."""
+        """The probability of each string's bit, mixed over depths `least` to DEPTH."""
         q = self.chance(DEPTH)
-        for d in range(DEPTH - 1, 1, -1):
+        for d in range(DEPTH - 1, self.least - 1, -1):
             stop = sigmoid(self.log_e[d] - self.below[d])[self.own[d]]
             q = stop * self.chance(d) + (1 - stop) * q
         return q
 
 
-def tops(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
-    """What a bucket adds to depth 1: (latest byte, decision, zeros, ones, log of the product of the children's P_w)."""
+def _by_root(key: np.ndarray, split: Split) -> Iterator[tuple[int, np.ndarray]]:
+    """Depths of roots, and which strings have them."""
+    depth = roots(key, split)
+    for d in np.unique(depth).tolist():
+        yield d, np.flatnonzero(depth == d)
+
+
+def tops(key: np.ndarray, count: np.ndarray, split: Split) -> tuple[np.ndarray, ...]:
+    """What a bucket adds to the contexts above its own: (depth, context, decision, zeros, ones, log of the product of the children's P_w)."""
     out = []
-    for bit in range(8):
-        v = Level(key, count, bit)
-        top = ((key >> np.uint64(8 * DEPTH)).astype(np.int64) << 8) | v.node
-        first = np.zeros(len(v.weighted), np.int64)
-        first[v.own[2]] = top
-        at, own = np.unique(first, return_inverse=True)
-        out.append((at >> 8, at & 255, *(np.bincount(own, x, len(at)) for x in (v.zeros[2], v.ones[2], v.weighted))))
+    for least, some in _by_root(key, split):
+        for bit in range(8):
+            v = Level(key[some], count[some], bit, least)
+            first = np.zeros(len(v.weighted), np.int64)
+            first[v.own[least]] = (context(key[some], least - 1).astype(np.int64) << 8) | v.node
+            at, own = np.unique(first, return_inverse=True)
+            out.append((np.full(len(at), least - 1), at >> 8, at & 255, *(np.bincount(own, x, len(at)) for x in (v.zeros[least], v.ones[least], v.weighted))))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 class Top:
-    """Depths 0 and 1 of the tree."""
-
-    def __init__(self, rows: list[tuple[int, int, float, float, float]]):
-        self.zeros, self.ones, below = np.zeros((257, 256)), np.zeros((257, 256)), np.zeros((257, 256))
-        for latest, node, zeros, ones, log in rows:
-            self.zeros[latest, node], self.ones[latest, node], below[latest, node] = zeros, ones, log
-        log_e = estimate(self.zeros, self.ones)
-        self.stop = sigmoid(log_e - below)
-        weighted = np.logaddexp(log_e, below) - np.log(2)
-        self.zeros[256], self.ones[256] = self.zeros[:256].sum(axis=0), self.ones[:256].sum(axis=0)
-        self.stop[256] = sigmoid(estimate(self.zeros[256], self.ones[256]) - weighted[:256].sum(axis=0))
-
-    def mix(self, latest: np.ndarray, node: np.ndarray, bit: np.ndarray, q: np.ndarray) -> np.ndarray:
-        for row in (latest, np.full(len(latest), 256)):
-            zeros, ones, stop = self.zeros[row, node], self.ones[row, node], self.stop[row, node]
+    """Depths 0 and 1 of the tree, and the split contexts below."""
+
+    def __init__(self, rows: list[tuple[int, int, int, float, float, float]], split: Split):
+        self.split = split
+        self.contexts = {0: np.zeros(1, np.uint64), 1: np.arange(256, dtype=np.uint64), **split}
+        self.zeros, self.ones, below, self.stop = ({d: np.zeros((len(c), 256)) for d, c in self.contexts.items()} for _ in range(4))
+        for depth, at, node, zeros, ones, log in rows:
+            place = int(np.searchsorted(self.contexts[depth], np.uint64(at)))
+            self.zeros[depth][place, node] += zeros
+            self.ones[depth][place, node] += ones
+            below[depth][place, node] += log
+        for d in range(DEPTH - 1, -1, -1):
+            log_e = estimate(self.zeros[d], self.ones[d])
+            self.stop[d] = sigmoid(log_e - below[d])
+            if d:
+                parent = np.searchsorted(self.contexts[d - 1], self.contexts[d] >> np.uint64(8))
+                for above, own in ((self.zeros, self.zeros[d]), (self.ones, self.ones[d]), (below, np.logaddexp(log_e, below[d]) - np.log(2))):
+                    np.add.at(above[d - 1], parent, own)
+
+    def mix(self, key: np.ndarray, least: int, node: np.ndarray, bit: np.ndarray, q: np.ndarray) -> np.ndarray:
+        for d in range(least - 1, -1, -1):
+            row = np.searchsorted(self.contexts[d], context(key, d))
+            zeros, ones, stop = self.zeros[d][row, node], self.ones[d][row, node], self.stop[d][row, node]
             q = stop * (np.where(bit > 0, ones, zeros) + 0.5) / (zeros + ones + 1.0) + (1 - stop) * q
         return q
 
@@ -207,10 +269,10 @@ class Top:
 def log_probabilities(key: np.ndarray, count: np.ndarray, top: Top) -> np.ndarray:
     """log10 of the probability of each string's byte after its context."""
     total = np.zeros(len(key))
-    latest = (key >> np.uint64(8 * DEPTH)).astype(np.int64)
-    for bit in range(8):
-        v = Level(key, count, bit)
-        total += np.log10(top.mix(latest, v.node, v.bit, v.mixed()))
+    for least, some in _by_root(key, top.split):
+        for bit in range(8):
+            v = Level(key[some], count[some], bit, least)
+            total[some] += np.log10(top.mix(key[some], least, v.node, v.bit, v.mixed()))
     return total
 
 
@@ -258,14 +320,15 @@ def distinct_words(texts: Texts, train: np.ndarray) -> tuple[np.ndarray, np.ndar
     return keys, count, place, first
 
 
-def score_texts(docs: DataFrame, hold_out: int = 10) -> DataFrame:
+def score_texts(docs: DataFrame, hold_out: int = 10, share: int = SHARE) -> DataFrame:
     """docs(doc_id, text) -> SCHEMA: documents whose id's crc32 is not 0 modulo hold_out are learned from, all are scored."""
     n = buckets(docs)
     chunks = chunked(docs)
+    split = common_contexts(chunks, hold_out, share)
 
     def ask_strings(texts: Texts, _: Answers) -> Iterator[tuple[int, bytes]]:
         key, count = counted(texts, ~held_out(texts, hold_out))
-        order, cuts = by_bucket(key, n)
+        order, cuts = by_bucket(key, n, split)
         for k in np.flatnonzero(np.diff(cuts)).tolist():
             own = order[cuts[k] : cuts[k + 1]]
             yield k, _packed(key[own], count[own], STRING_SHIFT)
@@ -278,7 +341,8 @@ def score_texts(docs: DataFrame, hold_out: int = 10) -> DataFrame:
             yield k, _packed(key[own], count[own], 0)
 
     asked_strings, asked_words = saved(ask(chunks, [], ask_strings)), saved(ask(chunks, [], ask_words))
-    top = Top([tuple(r) for r in _by_bucket(asked_strings, n, lambda blobs: tops(*_merged(blobs, STRING_SHIFT)[:2]), "latest int, node int, zeros double, ones double, log double").groupBy("latest", "node").agg(F.sum("zeros"), F.sum("ones"), F.sum("log")).collect()])
+    above = _by_bucket(asked_strings, n, lambda blobs: tops(*_merged(blobs, STRING_SHIFT)[:2], split), "depth int, context long, node int, zeros double, ones double, log double")
+    top = Top([tuple(r) for r in above.groupBy("depth", "context", "node").agg(F.sum("zeros"), F.sum("ones"), F.sum("log")).collect()], split)
 
     def totals(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
         _, count, _ = _merged(blobs, 0)
@@ -300,7 +364,7 @@ def score_texts(docs: DataFrame, hold_out: int = 10) -> DataFrame:
     def done(texts: Texts, got: Answers) -> Iterator[pa.RecordBatch]:
         held = held_out(texts, hold_out)
         keys, _ = counted(texts, ~held)
-        order, cuts = by_bucket(keys, n)
+        order, cuts = by_bucket(keys, n, split)
         log = np.zeros(len(keys), np.float64)
         for k in np.flatnonzero(np.diff(cuts)).tolist():
             log[order[cuts[k] : cuts[k + 1]]] = np.frombuffer(got[0][k], np.float32)

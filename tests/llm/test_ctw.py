@@ -4,7 +4,11 @@ import re
 import zlib
 from collections import Counter
 
-from sparksieve.llm.ctw import DEPTH, END, score_texts
+import numpy as np
+import pytest
+
+from sparksieve.llm.chunks import chunked, unpack
+from sparksieve.llm.ctw import DEPTH, END, common_contexts, counted, held_out, score_texts
 
 SCHEMA = "doc_id long, text string, held_out int, extra string"
 
@@ -77,20 +81,21 @@ def brute(rows):
     return out
 
 
-def compare(spark, rows):
-    got = score_texts(spark.createDataFrame([(i, t, 1, "x") for i, t in rows], SCHEMA).repartition(3)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()
+def compare(spark, rows, share=512):
+    got = score_texts(spark.createDataFrame([(i, t, 1, "x") for i, t in rows], SCHEMA).repartition(3), share=share).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()
     got, want = sorted(map(tuple, got), key=repr), sorted(brute(rows), key=repr)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     for g, w in zip(got, want):
         assert math.isclose(g[5], w[5], rel_tol=1e-9) and math.isclose(g[6], w[6], rel_tol=1e-5)
 
 
-def test_matches_definition(spark):
+@pytest.mark.parametrize("share", [1, 8, 64, 1 << 20])  # of contexts: none, a few, many, all are split
+def test_matches_definition(spark, share):
     r = random.Random(4)
     words = ["The", "then", "é", "other", "a", "b!"]
     rows = [(i, " ".join(r.choices(words, k=r.choice([0, 1, 8, 30])))) for i in range(40)]
     rows += [(40, None), (41, ""), (42, "\n "), (None, "the then"), (3, rows[3][1]), (43, "ab" * 300)]
-    compare(spark, rows)
+    compare(spark, rows, share)
 
 
 def test_nothing_to_learn_from(spark):
@@ -100,3 +105,22 @@ def test_nothing_to_learn_from(spark):
 
 def test_empty_table(spark):
     assert score_texts(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_common_contexts_are_spread(spark):
+    """All contexts of the asked-for part of strings, and none of less than half of that, over chunks that differ."""
+    r = random.Random(6)
+    texts = ["".join(r.choices("eeet nab", k=400)) for _ in range(20)] + ["".join(r.choices("xyz 0123456789", k=400)) for _ in range(20)]
+    chunks = chunked(spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], SCHEMA).coalesce(1).sortWithinPartitions("doc_id"), 2000)
+    split = common_contexts(chunks, 10, 16)
+    counts, total = {d: Counter() for d in (2, 3, 4)}, 0
+    for row in chunks.collect():
+        own = unpack(row.payload)
+        key, _ = counted(own, ~held_out(own, 10))
+        total += len(key)
+        for d in counts:
+            counts[d].update((key >> np.uint64(8 * (DEPTH + 1 - d))).tolist())
+    assert len(split[2])
+    for d, count in counts.items():
+        assert {c for c, k in count.items() if 16 * k >= total} <= set(split[d].tolist()) <= {c for c, k in count.items() if 32 * k > total}
+        assert len(split[d]) < 32
