@@ -75,14 +75,25 @@ def _names(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray) -> np.ndarray
     return name
 
 
+def _names_spanning(lms: np.ndarray, length: int) -> int:
+    """The fewest LMS substrings in a row that have `length` letters wherever they begin (but at the text's end)."""
+    low, high = 1, max(1, length // 2)  # LMS places are two letters apart or more
+    while low < high:
+        k = (low + high) // 2
+        if k < len(lms) and (lms[k:] - lms[:-k]).min() + 1 < length:
+            low = k + 1
+        else:
+            high = k
+    return low
+
+
 def _sorted_lms(name: np.ndarray, n: int, length: int) -> np.ndarray:
-    """The order of the shorter text's suffixes, of which `name` ends with the least; n letters, of which `length` count, made it."""
+    """The order of the shorter text's suffixes by `length` names; `name` ends with the least, n letters made it."""
     kinds = int(name.max()) + 1
     if kinds == len(name):
         order = np.empty(kinds, np.int64)
         order[name] = np.arange(kinds)
         return order
-    length = length // 2 + 1  # LMS places are two letters apart or more
     if length == 1:
         return np.argsort(name, kind="stable")
     if kinds <= FEW + len(name) // FEW or 2 * len(name) > 0.9 * n:
@@ -102,13 +113,12 @@ def _deal(places: np.ndarray, letters: np.ndarray, array: np.ndarray, edge: np.n
             array[edge[c]] = place
             edge[c] += way
         return
-    order = np.argsort(letters, kind="stable")
-    letters = letters[order]
-    begin = np.concatenate([[0], (letters[1:] != letters[:-1]).nonzero()[0] + 1])
-    heads = letters[begin]
-    size = np.concatenate([begin[1:], [len(places)]]) - begin
-    array[np.repeat(edge[heads] - way * begin, size) + way * np.arange(len(places))] = places[order]
-    edge[heads] += way * size
+    order = letters.argsort(kind="stable")
+    size = np.bincount(letters, minlength=len(edge))
+    first = size.cumsum()
+    first -= size
+    array[(edge - way * first)[letters[order]] + way * np.arange(len(places))] = places[order]
+    edge += way * size
 
 
 def suffix_array(text: np.ndarray, length: int) -> np.ndarray:
@@ -120,7 +130,7 @@ def suffix_array(text: np.ndarray, length: int) -> np.ndarray:
     lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
     if not len(lms):
         return np.arange(n - 1, -1, -1, dtype=np.int32)
-    ordered = lms[_sorted_lms(_names(text, smaller, lms), n, length)].astype(np.int32)
+    ordered = lms[_sorted_lms(_names(text, smaller, lms), n, _names_spanning(lms, length))].astype(np.int32)
     ordered = ordered[np.argsort(text[ordered], kind="stable")]  # in order already but for what `length` left open
     starts = np.searchsorted(text[ordered], np.arange(letters + 1)).tolist()
     before = np.concatenate([text[:1], text[:-1]])

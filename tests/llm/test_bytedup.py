@@ -135,3 +135,14 @@ def test_without_repeats(spark):
 def test_empty_table(spark):
     assert without_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
     assert dedup_bytes(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_names_spanning():
+    """So many LMS substrings in a row span the length wherever they begin, and one fewer does not."""
+    r = np.random.default_rng(4)
+    for _ in range(200):
+        lms = np.cumsum(r.integers(2, 6, r.integers(1, 30)))
+        length = int(r.integers(2, 60))
+        k = suffix._names_spanning(lms, length)
+        spans = lambda k: all(lms[i + k] - lms[i] + 1 >= length for i in range(len(lms) - k))  # noqa: B023, E731
+        assert spans(k) and (k == 1 or not spans(k - 1))
