@@ -116,3 +116,36 @@ def test_gradient():
     past: dict = {"table": np.full((t.ROWS + 1, t.WIDTH), 1e-6, np.float32)}
     t._step(m._replace(table=m.table.copy(), filters=[f.copy() for f in m.filters], out=m.out.copy(), shift=[s.copy() for s in m.shift]), docs, y, past, np.ones(t.ROWS + 1, bool))
     assert np.allclose(np.sqrt(past["out"]), np.abs(slope), atol=2e-4)
+
+
+def test_every_labelled_row_is_learned_from(spark):
+    """A stem that stands only in toxic rows past the first 5,000 by the hash of the id; several shards."""
+    r = random.Random(9)
+    words = ["".join(r.choices("abcde", k=5)) for _ in range(100)]
+    ids = [x.id for x in spark.range(9000).orderBy(F.xxhash64("id", F.lit(7))).collect()]
+    rows = [(i, " ".join([*r.choices(words, k=4), ("zork" if n < 5000 else "quux") + r.choice("abc")] if n < 6200 else r.choices(words, k=5)), "en", "x", int(n < 6200)) for n, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = t.fit(docs, docs.select("doc_id", "toxic"))
+    got = t.scores(model, t.encode(pa.array([f"{w} {s}a {w}" for s in ("zork", "quux") for w in words])))
+    assert (got > 0.5).mean() > 0.97
+    assert (t.scores(model, t.encode(pa.array(words))) < 0.3).mean() > 0.9
+
+
+def test_averages_of_shards():
+    """A row's change is the mean over the shards that touched it; what is not in the table is the mean of all."""
+    rows = made(90, 3)
+    texts, y, live = pa.array([x[1] for x in rows]), np.array([x[4] for x in rows], np.float32), np.arange(t.ROWS + 1) < t.ROWS
+    m, past = t._begin(live, 3)
+    parts, changes = [], {}
+    for own in (np.arange(30), np.arange(30, 90)):
+        alone, sums = t._begin(live, 3)
+        parts.append((len(own), t._passed(alone, texts, y, sums, live, own), sums))
+        for block, n, data in t._changes(parts[-1][1], sums, m, past, len(own)):
+            changes.setdefault(block, []).append((n, data))
+    table, moved = m.table.copy(), [(p["table"] != past["table"]).any(axis=1) for _, _, p in parts]
+    got = t._changed(m, past, [(b, t._averaged(b, c)) for b, c in changes.items()])
+    one, two = parts[0][1], parts[1][1]
+    assert np.allclose(got.out, (one.out + 2 * two.out) / 3, atol=1e-6) and np.isclose(got.bias, (one.bias + 2 * two.bias) / 3)
+    both = (one.table + 2 * two.table) / 3
+    want = np.where((moved[0] & moved[1])[:, None], both, np.where(moved[0][:, None], one.table, np.where(moved[1][:, None], two.table, table)))
+    assert np.allclose(got.table, want, atol=1e-6) and (moved[0] & ~moved[1]).any()
