@@ -7,15 +7,17 @@ cropping and small noise leave most descriptors nearly as they are.
 
 1. Hamming tables: a descriptor's four 32-bit parts are its keys in four tables, so descriptors that differ in three
    bits share a key surely, and those that differ in a few more usually do; an image has many.
-2. In each list of a table the least and the greatest image lead, and every other corner of the list votes for the
-   turn, scale and shift that takes each of a leader's corners there to its own.
-3. Geometric consensus: MIN_VOTES corners of an image that agree on the transformation link it to the leader.  Votes
-   for a pair count together whichever list they come from.  Two images of which neither leads enough of the lists
-   that they share are linked through others only; votes of all pairs grow with the square of the images.
+2. In each list of a table every two corners of different images vote for the turn, scale and shift that takes one to the
+   other.  Images are dealt to groups of GROUP; a task takes two groups, makes the votes of their lists in blocks, and keeps
+   those of pairs that have MIN_VOTES at least, so no vote is shuffled or left out.  Votes grow with the square of a list.
+3. Geometric consensus: MIN_VOTES corners of an image that agree on the transformation link it to the other.  Votes for a
+   pair count together whichever list they come from.
+   All links are counted, but a task gives a row for each linked image only (its number of links there and the least
+   image they join it to), so many near copies don't become all their pairs.
 4. Components of links are classes (components.py).
 
-Equal images are one node from the start, told by 60 bits of their digest.  Tables are joined by key, nothing is
-broadcast or collected, and a large group of copies costs its corners.
+Equal images are one node from the start, told by 60 bits of their digest.  Nothing is broadcast or collected; an image's
+packed corners are sent once for each group, and a large group of equal copies costs its corners.
 
 Cases: null or unreadable images and those without corners have no votes; equal ones are one class still, null
 ones are classes of their own; repeated ids are rows of their own; extra columns are left out; no rows give no rows.
@@ -23,12 +25,14 @@ ones are classes of their own; repeated ids are rows of their own; extra columns
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
@@ -43,8 +47,10 @@ MARGIN = 12  # pixels that turned tests and smoothing reach
 SHIFT_BIN, TURN_BIN = 10.0, 8
 #: Images of AREA pixels that are worked on at a time.
 BATCH = 64
+#: Images of a group; votes, and pairs of images, that a task makes at a time (one image's with a group at least).
+GROUP, VOTES, CELLS = 8192, 1 << 21, 1 << 23
 
-CORNERS = "key long, node long, spot long"
+#: CORNERS: key long, node long, spot long.
 #: A spot packs a corner's turn (5 bits), scale (2 bits), and y and x in quarters of a pixel (24 bits each).
 PLACE_BITS = 24
 
@@ -165,68 +171,134 @@ def described(images: DataFrame) -> DataFrame:
     return images.select("node", "image").mapInArrow(run, "node long, corners binary")
 
 
-def corner_rows(packed: DataFrame) -> DataFrame:
-    """(node, corners) -> CORNERS: a row for each corner and table, equal ones once."""
+def _unpacked(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, corners) -> key, node and spot of each corner and table, equal ones once."""
+    tables = BITS // 32
+    raw = part["corners"].to_pylist()
+    rows = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, BITS // 8 + 8)
+    node = np.repeat(part["node"].to_numpy(), [len(x) // (BITS // 8 + 8) for x in raw])
+    keys = np.ascontiguousarray(rows[:, : BITS // 8]).view(np.uint32).astype(np.int64) + (np.arange(tables) << 32)
+    spot = np.ascontiguousarray(rows[:, BITS // 8 :]).view(np.int64).ravel()
+    return _distinct(keys.ravel(), np.repeat(node, tables), np.repeat(spot, tables))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = BITS // 32
-        for b in batches:
-            for i in range(0, len(b), 1024):
-                part = b.slice(i, 1024)
-                raw = [x.as_py() for x in part.column(1)]
-                rows = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, BITS // 8 + 8)
-                node = np.repeat(np.array(part.column(0), np.int64), [len(x) // (BITS // 8 + 8) for x in raw])
-                keys = np.ascontiguousarray(rows[:, : BITS // 8]).view(np.uint32).astype(np.int64) + (np.arange(tables) << 32)
-                spot = np.ascontiguousarray(rows[:, BITS // 8 :]).view(np.int64).ravel()
-                found = np.unique(np.stack([keys.ravel(), np.repeat(node, tables), np.repeat(spot, tables)], axis=1), axis=0) if len(rows) else np.zeros((0, 3), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in range(3)], ["key", "node", "spot"])
 
-    return packed.mapInArrow(run, CORNERS)
+def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct rows, in the order of the columns from the last to the first."""
+    order = np.lexsort(columns)
+    columns = tuple(c[order] for c in columns)
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return tuple(c[new] for c in columns)
 
 
-def _spot(spot: str) -> tuple[Column, Column, Column, Column]:
-    """x, y, scale and turn of a spot."""
+def _spot(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """x, y, scale and turn of spots."""
     place = (1 << PLACE_BITS) - 1
-    c = F.col(spot)
-    return c.bitwiseAND(place) / 4.0, F.shiftright(c, PLACE_BITS).bitwiseAND(place) / 4.0, F.shiftright(c, 2 * PLACE_BITS).bitwiseAND(3), F.shiftright(c, 2 * PLACE_BITS + 2)
+    return (c & place) / 4.0, (c >> PLACE_BITS & place) / 4.0, c >> 2 * PLACE_BITS & 3, c >> (2 * PLACE_BITS + 2)
+
+
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin, and the number of rows."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.append(np.flatnonzero(new), len(new))
+
+
+def _agreed(pair: np.ndarray, spot: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """Votes of pairs: which pairs have MIN_VOTES that agree."""
+    spot, lead, pair = _distinct(spot, lead, pair)
+    (x, y, scale, turn), (lx, ly, lead_scale, lead_turn) = _spot(spot), _spot(lead)
+    ratio = SCALES[1] ** (lead_scale - scale).astype(np.float64)  # size of the image's corner over the leader's
+    angle = (turn - lead_turn) * (2 * np.pi / TURNS)
+    zoom, turned = scale - lead_scale, (turn - lead_turn) % TURNS
+    sx, sy = x - ratio * (np.cos(angle) * lx - np.sin(angle) * ly), y - ratio * (np.sin(angle) * lx + np.cos(angle) * ly)
+    place = spot & ((1 << (2 * PLACE_BITS + 2)) - 1)
+    size, found = TURNS // TURN_BIN, []
+    # Eight grids, each axis half a bin apart or not, so votes within half a bin on every axis share a bin of one of them.
+    for half_turn, half_x, half_y in itertools.product((0.0, 0.5), repeat=3):
+        bins = np.floor((turned + half_turn * size) % TURNS / size), np.floor(sx / SHIFT_BIN + half_x), np.floor(sy / SHIFT_BIN + half_y)
+        votes = _distinct(place, *bins, zoom, pair)
+        cuts = _runs(*votes[1:])
+        found.append(np.unique(votes[-1][cuts[:-1][np.diff(cuts) >= MIN_VOTES]]))
+        rest = ~np.isin(pair, found[-1])
+        pair, place, zoom, turned, sx, sy = (c[rest] for c in (pair, place, zoom, turned, sx, sy))
+    return np.concatenate(found)
+
+
+def _linked(one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...], same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Key, node and spot of the corners of two groups (or of one, twice) -> u and v of links."""
+    key, node, spot = (c[np.argsort(one[1], kind="stable")] for c in one)
+    other_key, other_node, other_spot = (c[np.argsort(two[0], kind="stable")] for c in two)
+    names, number = np.unique(other_node, return_inverse=True)
+    first = np.searchsorted(other_key, key)
+    count = np.searchsorted(other_key, key, "right") - first
+    cuts = _runs(node)
+    votes = np.append(0, np.cumsum(count))[cuts]
+    i = 0
+    while i + 1 < len(cuts):
+        j = max(i + 1, min(i + CELLS // max(1, len(names)), int(np.searchsorted(votes, votes[i] + VOTES, "right")) - 1, len(cuts) - 1))
+        low, many = cuts[i], count[cuts[i] : cuts[j]]
+        mine = np.repeat(np.arange(low, cuts[j]), many)
+        other = np.arange(len(mine)) - np.repeat(np.cumsum(many) - many, many) + first[mine]
+        if same:
+            keep = node[mine] < other_node[other]
+            mine, other = mine[keep], other[keep]
+        image = np.repeat(np.arange(j - i), np.diff(cuts[i : j + 1]))  # of the rows from low on
+        cell = image[mine - low] * len(names) + number[other]
+        keep = (np.bincount(cell, minlength=1) >= MIN_VOTES)[cell]
+        mine, other, cell = mine[keep], other[keep], cell[keep]
+        # The greater image's corner votes, the lesser's leads.
+        up = node[mine] > other_node[other]
+        pair = _agreed(cell, np.where(up, spot[mine], other_spot[other]), np.where(up, other_spot[other], spot[mine]))
+        a, b = node[cuts[i + pair // max(1, len(names))]], names[pair % max(1, len(names))]
+        yield np.maximum(a, b), np.minimum(a, b)
+        i = j
+
+
+def _listed(_: np.ndarray, found: Iterator[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    u, v = zip((np.zeros(0, np.int64),) * 2, *found, strict=True)
+    return pa.table({"u": np.concatenate(u), "v": np.concatenate(v)})
+
+
+def _joined(nodes: np.ndarray, found: Iterator[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    """Distinct nodes, and links in blocks -> node, root (the least node that the links join it to) and n (its links), of nodes with links."""
+    root, n = np.arange(len(nodes)), np.zeros(len(nodes), np.int64)
+    for u, v in found:
+        a, b = np.searchsorted(nodes, u), np.searchsorted(nodes, v)
+        n += np.bincount(a, minlength=len(n)) + np.bincount(b, minlength=len(n))
+        while (root[a] != root[b]).any():
+            np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+            while (root != root[root]).any():
+                root = root[root]
+    own = np.flatnonzero(n)
+    return pa.table({"node": nodes[own], "root": nodes[root[own]], "n": n[own]})
+
+
+def _by_groups(images: DataFrame, read: Callable[[pa.Table], tuple[np.ndarray, ...]], make: Callable[[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]], pa.Table], schema: str) -> DataFrame:
+    """images(node, ...), a row for each, that read makes key, node and spot of -> what make does with the links of each two groups."""
+    n = images.count()
+    groups = max(-(-n // GROUP), min(4, -(-n // 1024)), 1)
+    own = images.withColumn("own", F.pmod(F.xxhash64("node", F.lit(17)), F.lit(groups)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    dealt = own.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("other")
+
+    def run(part: pa.Table) -> pa.Table:
+        low, high = part["low"][0].as_py(), part["high"][0].as_py()
+        one = read(part.filter(pc.equal(part["own"], low)))
+        two = one if low == high else read(part.filter(pc.equal(part["own"], high)))
+        return make(np.union1d(one[1], two[1]), _linked(one, two, low == high))
+
+    return dealt.repartition(groups * (groups + 1) // 2, "low", "high").groupBy("low", "high").applyInArrow(run, schema)
 
 
 def links(rows: DataFrame) -> DataFrame:
-    """CORNERS -> (u, v): images that enough corners agree on, of the votes of each list for its least and its greatest image."""
-    lists = rows.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("most")).filter("v < most")
-    shared = rows.join(lists, "key")
-    least = shared.filter("node = v").select("key", F.col("spot").alias("lead"))
-    greatest = shared.filter("node = most").select("key", F.col("spot").alias("lead"))
-    low = shared.filter("node > v").join(least, "key").select(F.col("node").alias("u"), "v", "spot", "lead")
-    high = shared.filter("node > v and node < most").join(greatest, "key").select(F.col("most").alias("u"), F.col("node").alias("v"), F.col("lead").alias("spot"), F.col("spot").alias("lead"))
-    return _agreed(low.unionByName(high))
-
-
-def _agreed(pairs_of_corners: DataFrame) -> DataFrame:
-    """(u, v, spot, lead) -> (u, v): pairs of images of whose votes MIN_VOTES agree."""
-    votes = pairs_of_corners.select("u", "v", F.struct("spot", "lead").alias("vote"))
-    # An image has a bounded number of corners, and so has a pair; most pairs have a stray vote and go here.
-    pairs = votes.groupBy("u", "v").agg(F.collect_set("vote").alias("votes")).filter(F.size("votes") >= MIN_VOTES)
-    named = pairs.select("u", "v", F.explode("votes").alias("vote")).select("u", "v", "vote.*")
-    (x, y, scale, turn), (lx, ly, lead_scale, lead_turn) = _spot("spot"), _spot("lead")
-    ratio = F.pow(F.lit(SCALES[1]), (lead_scale - scale).cast("double"))  # size of the image's corner over the leader's
-    angle = (turn - lead_turn) * F.lit(2 * np.pi / TURNS)
-    moved = named.select(
-        "u", "v", "spot", (scale - lead_scale).alias("zoom"), ((turn - lead_turn + TURNS) % TURNS).alias("turned"),
-        (x - ratio * (F.cos(angle) * lx - F.sin(angle) * ly)).alias("sx"), (y - ratio * (F.sin(angle) * lx + F.cos(angle) * ly)).alias("sy"),
-    )
-    # Eight grids, each axis half a bin apart or not, so votes within half a bin on every axis share a bin of one of them.
-    grids = moved
-    for axis in ("turn_half", "x_half", "y_half"):
-        grids = grids.withColumn(axis, F.explode(F.array(F.lit(0.0), F.lit(0.5))))
-    size = TURNS // TURN_BIN
-    bins = {
-        "turned": F.floor(((F.col("turned") + F.col("turn_half") * size) % TURNS) / size),
-        "sx": F.floor(F.col("sx") / SHIFT_BIN + F.col("x_half")),
-        "sy": F.floor(F.col("sy") / SHIFT_BIN + F.col("y_half")),
-    }
-    counted = grids.withColumns(bins).groupBy("u", "v", "turn_half", "x_half", "y_half", "zoom", "turned", "sx", "sy").agg(F.size(F.collect_set(F.col("spot").bitwiseAND((1 << (2 * PLACE_BITS + 2)) - 1))).alias("votes"))
-    return counted.filter(F.col("votes") >= MIN_VOTES).select("u", "v").distinct()
+    """CORNERS -> (u, v): all pairs of images that enough corners agree on; as many as the square of a group of copies."""
+
+    def read(part: pa.Table) -> tuple[np.ndarray, ...]:
+        lists = part["lists"].combine_chunks()
+        key, spot = (lists.flatten().field(c).to_numpy() for c in ("key", "spot"))
+        return _distinct(key, np.repeat(part["node"].to_numpy(), pc.list_value_length(lists).to_numpy()), spot)
+
+    return _by_groups(saved(rows.groupBy("node").agg(F.collect_list(F.struct("key", "spot")).alias("lists"))), read, _listed, "u long, v long")
 
 
 def image_classes(images: DataFrame) -> DataFrame:
@@ -235,10 +307,10 @@ def image_classes(images: DataFrame) -> DataFrame:
     ids = F.col("image_id").cast("long").alias("image_id")
     nodes = saved(images.select(ids, digest.alias("node")))
     packed = described(images.filter("image is not null").select(digest.alias("node"), "image"))
-    # Equal images have equal corners; packed, they are a seventh of what their rows are.
-    found = saved(links(corner_rows(saved(packed.groupBy("node").agg(F.min("corners").alias("corners"))))))
-    roots = components(found)
-    degree = found.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    # Equal images have equal corners.
+    found = saved(_by_groups(saved(packed.groupBy("node").agg(F.min("corners").alias("corners"))), _unpacked, _joined, "node long, root long, n long"))
+    roots = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    degree = found.groupBy("node").agg(F.sum("n").alias("n_links"))
     distinct = nodes.filter("node is not null").groupBy("node").agg(F.min("image_id").alias("least"))
     named = distinct.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("class_id"))

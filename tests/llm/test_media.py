@@ -1,5 +1,10 @@
+import itertools
+import math
+
 import numpy as np
+import pyarrow as pa
 
+from sparksieve.llm import media
 from sparksieve.llm.media import _basis, _box, corners, image_classes, links, read_pgm, rendered, write_pgm
 
 SCHEMA = "image_id long, image binary, class_id string, node int"
@@ -102,3 +107,80 @@ def test_votes_across_edges_of_bins(spark):
 
 def test_empty_table(spark):
     assert image_classes(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def by_loops(rows):
+    """links() by loops over all pairs of images and grids."""
+    of = {}
+    for key, node, spot in rows:
+        of.setdefault(node, set()).add((key, spot))
+    read = lambda s: ((s & (1 << 24) - 1) / 4, (s >> 24 & (1 << 24) - 1) / 4, s >> 48 & 3, s >> 50)
+    found = []
+    for u in of:
+        for v in (v for v in of if v < u):
+            best = 0
+            for grid in itertools.product((0, 0.5), repeat=3):
+                bins = {}
+                for (key, spot), (lead_key, lead) in itertools.product(of[u], of[v]):
+                    if key == lead_key:
+                        (x, y, s, t), (lx, ly, ls, lt) = read(spot), read(lead)
+                        ratio, angle = (2 / 3) ** (ls - s), (t - lt) * 2 * math.pi / 32
+                        sx, sy = x - ratio * (math.cos(angle) * lx - math.sin(angle) * ly), y - ratio * (math.sin(angle) * lx + math.cos(angle) * ly)
+                        where = s - ls, ((t - lt) % 32 + grid[0] * 4) % 32 // 4, math.floor(sx / 10 + grid[1]), math.floor(sy / 10 + grid[2])
+                        bins.setdefault(where, set()).add((x, y, s))
+                best = max([best, *map(len, bins.values())])
+            if best >= 4:
+                found.append((u, v))
+    return sorted(found)
+
+
+def test_links_behind_the_ends_of_lists(spark):
+    """Two copies that share five lists, each with another least and another greatest image."""
+    spot = lambda y, x: (4 * y) << 24 | 4 * x
+    rows = []
+    for k in range(5):
+        rows += [(k, 5, spot(20 + 7 * k, 30 + 5 * k)), (k, 6, spot(21 + 7 * k, 31 + 5 * k)), (k, -k - 1, spot(9 * k, 80)), (k, 20 + k, spot(70, 9 * k))]
+    assert sorted(map(tuple, links(spark.createDataFrame(rows, "key long, node long, spot long")).collect())) == [(6, 5)]
+
+
+def test_all_links_of_all_lists(spark, monkeypatch):
+    """Against loops, in one group and in several, and in one block of votes and in many."""
+    r = np.random.default_rng(31)
+    rows = []
+    for family in range(6):
+        corner = r.integers(0, 70, (14, 2))
+        for node in range(family * 5, family * 5 + 5):
+            dy, dx, scale, turn = r.integers(0, 20), r.integers(0, 20), int(r.integers(0, 2)), int(r.integers(0, 32))
+            own = corner if node % 6 else r.integers(0, 70, (14, 2))
+            for k in np.flatnonzero(r.random(14) < 0.7).tolist():
+                y, x = (int(4 * v) for v in (own[k] + [dy, dx]))
+                rows.append((int(r.integers(0, 4)) if r.random() < 0.2 else family % 3 * 20 + k, node * 37 % 101, (5 if node % 5 < 4 else turn) << 50 | (0 if node % 7 else scale) << 48 | y << 24 | x))
+    want = by_loops(rows)
+    assert 10 <= len(want) < 200
+    for group, votes in ((8192, 1 << 21), (7, 40)):
+        monkeypatch.setattr(media, "GROUP", group)
+        monkeypatch.setattr(media, "VOTES", votes)
+        assert sorted(map(tuple, links(spark.createDataFrame(rows, "key long, node long, spot long")).collect())) == want
+
+
+def test_links_are_counted(spark, monkeypatch):
+    """Classes and numbers of links in several groups, against components and degrees of the links listed."""
+    base, r = pictures(30, 13)
+    rows = [(i, to_image(a)) for i, a in enumerate(base)] + [(100 + i, to_image(base[i % 3][i % 5 * 2 : 90, i % 4 : 84] + r.normal(0, 2, (90 - i % 5 * 2, 84 - i % 4)))) for i in range(24)]
+    images = spark.createDataFrame([(i, x, "c", 1) for i, x in rows], SCHEMA)
+    packed = {n: c for n, c in media.described(images.selectExpr("image_id node", "image")).collect()}
+    key, node, spot = media._unpacked(pa.table({"node": pa.array(packed), "corners": pa.array(map(bytes, packed.values()), pa.binary())}))
+    pairs = list(map(tuple, links(spark.createDataFrame(list(zip(key.tolist(), node.tolist(), spot.tolist())), "key long, node long, spot long")).collect()))
+    least = {i: i for i, _ in rows}
+    for _ in rows:
+        for u, v in pairs:
+            least[u] = least[v] = min(least[u], least[v])
+    monkeypatch.setattr(media, "GROUP", 9)
+    got = {x.image_id: (x.class_id, x.n_links) for x in image_classes(images).collect()}
+    assert got == {i: (least[i], sum(i in p for p in pairs)) for i, _ in rows} and max(n for _, n in got.values()) >= 5
+
+
+def test_links_of_few_rows(spark):
+    """No rows, and one image alone."""
+    for rows in ([], [(1, 1, 5), (1, 1, 6)]):
+        assert links(spark.createDataFrame(rows, "key long, node long, spot long")).collect() == []
