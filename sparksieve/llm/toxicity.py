@@ -24,19 +24,20 @@ columns are kept, also those named like what score() adds (it takes other names
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
-from typing import NamedTuple
+from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from .chunks import mix64, words_of
-from .common import fresh, release_memory, saved, shuffle_partitions
+from .common import forget, fresh, release_memory, saved, shuffle_partitions
 
 #: Training rows of a shard, while there are not more shards than that.
 SHARD_ROWS, MOST_SHARDS = 5000, 64
@@ -383,11 +384,21 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
+@contextlib.contextmanager
+def _sent(spark: SparkSession, value: Any) -> Iterator[Broadcast]:
+    """The value as a broadcast whose files go at the end: those that Spark makes of large closures stay with the session."""
+    sent = spark.sparkContext.broadcast(value)
+    try:
+        yield sent
+    finally:
+        sent.destroy()
+
+
 def _learned(rows: DataFrame, m: Model, past: dict, live: np.ndarray, number: int) -> Model:
     """One pass over rows(text, toxic, held) whose partitions are shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = TaskContext.get().partitionId()
+        shard, (m, past, live) = TaskContext.get().partitionId(), sent.value
         own, before = m._replace(table=m.table.copy(), filters=[f.copy() for f in m.filters], shift=[b.copy() for b in m.shift], out=m.out.copy()), {k: v.copy() for k, v in past.items()}
         done, r = 0, np.random.default_rng([number, shard])
         for b in batches:
@@ -402,8 +413,10 @@ def _learned(rows: DataFrame, m: Model, past: dict, live: np.ndarray, number: in
         own, block = own.sort_by("shard"), own["block"][0].as_py()
         return pa.table({"block": pa.array([block], pa.int32()), "data": pa.array([_averaged(block, list(zip(own["n"].to_pylist(), own["data"].to_pylist(), strict=True)))], pa.binary())})
 
-    parts = rows.mapInArrow(run, "block int, shard int, n long, data binary")
-    return _changed(m, past, [(x["block"], bytes(x["data"])) for x in parts.groupBy("block").applyInArrow(average, "block int, data binary").collect()])
+    with _sent(rows.sparkSession, (m, past, live)) as sent:
+        parts = rows.mapInArrow(run, "block int, shard int, n long, data binary")
+        averages = parts.groupBy("block").applyInArrow(average, "block int, data binary").collect()
+    return _changed(m, past, [(x["block"], bytes(x["data"])) for x in averages])
 
 
 def _touched(rows: DataFrame) -> np.ndarray:
@@ -421,28 +434,34 @@ def _touched(rows: DataFrame) -> np.ndarray:
     return seen
 
 
-def _perhaps(known: DataFrame) -> Callable[[Column], Column]:
-    """Whether an id may be one of known(label_id): a Bloom filter of ID_BITS, so that few texts without a label are shuffled."""
+def _place(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id, F.lit(3)), F.lit(ID_BITS))
+
 
-    def place(doc_id: Column) -> Column:
-        return F.pmod(F.xxhash64(doc_id, F.lit(3)), F.lit(ID_BITS))
+def _places(known: DataFrame) -> np.ndarray:
+    """The bits of known(label_id), a Bloom filter of one hash."""
 
     def pack(own: pa.Table) -> pa.Table:
         block, bits = own["block"][0].as_py(), np.zeros(BLOCK, bool)
         bits[own["place"].to_numpy() % BLOCK] = True
         return pa.table({"block": pa.array([block], pa.int64()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
-    places = known.select(place(F.col("label_id")).alias("place")).distinct().withColumn("block", F.floor(F.col("place") / BLOCK))
+    places = known.select(_place(F.col("label_id")).alias("place")).distinct().withColumn("block", F.floor(F.col("place") / BLOCK))
     mask = np.zeros(ID_BITS // 8, np.uint8)
     for x in places.groupBy("block").applyInArrow(pack, "block long, bits binary").collect():
         mask[x["block"] * (BLOCK // 8) : (x["block"] + 1) * (BLOCK // 8)] = np.frombuffer(x["bits"], np.uint8)
+    return mask
+
+
+def _perhaps(mask: Broadcast) -> Callable[[Column], Column]:
+    """Whether an id may have a label, so that few texts without one are shuffled."""
 
     def held(places: pa.Array) -> pa.Array:
         at = places.to_numpy(zero_copy_only=False)
-        return pa.array(mask[at >> 3] << (at & 7).astype(np.uint8) & 128 > 0)
+        return pa.array(mask.value[at >> 3] << (at & 7).astype(np.uint8) & 128 > 0)
 
     found = F.arrow_udf(held, "boolean")
-    return lambda doc_id: found(place(doc_id))
+    return lambda doc_id: found(_place(doc_id))
 
 
 def _binned(rows: DataFrame, m: Model) -> tuple[np.ndarray, np.ndarray, list[str | None], np.ndarray]:
@@ -451,11 +470,12 @@ def _binned(rows: DataFrame, m: Model) -> tuple[np.ndarray, np.ndarray, list[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             b = b.filter(b.column("held"))
-            z = np.concatenate([np.zeros(0), *(logits(m, encode(b.column("text")[p])) for p in _pieces(b.column("text")))])
+            z = np.concatenate([np.zeros(0), *(logits(sent.value, encode(b.column("text")[p])) for p in _pieces(b.column("text")))])
             place = np.clip(np.rint(z * BINS), -LAST_BIN, LAST_BIN).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("toxic"), pa.array(place)], ["lang", "toxic", "bin"])
 
-    found = rows.mapInArrow(run, "lang string, toxic int, bin int").groupBy("lang", "toxic", "bin").count().orderBy("lang", "toxic", "bin").toArrow()
+    with _sent(rows.sparkSession, m) as sent:
+        found = rows.mapInArrow(run, "lang string, toxic int, bin int").groupBy("lang", "toxic", "bin").count().orderBy("lang", "toxic", "bin").toArrow()
     z, y, n = (found[c].to_numpy().astype(np.float64) for c in ("bin", "toxic", "count"))
     return z / BINS, y, found["lang"].to_pylist(), n
 
@@ -471,13 +491,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, seed: i
         return _even(toxic, clean, seed)
     shards = min(MOST_SHARDS, -(-(toxic + clean) // SHARD_ROWS))
     texts = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter("doc_id is not null")
-    if docs.schema["doc_id"].dataType == labels.schema["doc_id"].dataType:  # hashes of other types differ
-        texts = texts.filter(_perhaps(known)(F.col("doc_id")))
-    # Dealt by id, whatever the sizes: texts of one label that lie together in the files don't make a shard.
-    rows = texts.repartition(shuffle_partitions(docs.sparkSession), "doc_id").join(known.hint("merge"), F.col("doc_id") == F.col("label_id"))
     held = F.pmod(F.xxhash64("label_id", F.lit(5)), F.lit(5)) == 4
-    rows = rows.sortWithinPartitions(F.xxhash64("label_id", F.lit(7)), "label_id", "text", "toxic").select("text", "lang", "toxic", held.alias("held"))
-    rows = saved(rows).coalesce(shards)
+    with _sent(docs.sparkSession, _places(known)) as mask:
+        if docs.schema["doc_id"].dataType == labels.schema["doc_id"].dataType:  # hashes of other types differ
+            texts = texts.filter(_perhaps(mask)(F.col("doc_id")))
+        # Dealt by id, whatever the sizes: texts of one label that lie together in the files don't make a shard.
+        rows = texts.repartition(shuffle_partitions(docs.sparkSession), "doc_id").join(known.hint("merge"), F.col("doc_id") == F.col("label_id"))
+        rows = rows.sortWithinPartitions(F.xxhash64("label_id", F.lit(7)), "label_id", "text", "toxic").select("text", "lang", "toxic", held.alias("held"))
+        kept = saved(rows)
+    rows = kept.coalesce(shards)
     live = _living(_touched(rows))
     m, past = _begin(live, seed)
     for number in range(EPOCHS):
@@ -485,6 +507,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, seed: i
     del past
     z, y, lang, count = _binned(rows, m)
     model = _calibrated(m, z, y, lang, 0.0, count)
+    forget(kept)
+    del rows, kept
     release_memory()
     return model
 

@@ -1,5 +1,6 @@
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -149,3 +150,17 @@ def test_averages_of_shards():
     both = (one.table + 2 * two.table) / 3
     want = np.where((moved[0] & moved[1])[:, None], both, np.where(moved[0][:, None], one.table, np.where(moved[1][:, None], two.table, table)))
     assert np.allclose(got.table, want, atol=1e-6) and (moved[0] & ~moved[1]).any()
+
+
+def test_fit_leaves_no_files(spark):
+    """Neither the labelled texts nor the models sent for each pass stay on disk."""
+    docs = spark.createDataFrame(made(200, 5), SCHEMA)
+    t.fit(docs, docs.select("doc_id", "toxic"))
+
+    def left():
+        places = spark.sparkContext._temp_dir, spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+        return {p for place in places for p in Path(place).rglob("*") if p.is_file() and p.stat().st_size > 0}
+
+    before = left()
+    t.fit(docs, docs.select("doc_id", "toxic"))
+    assert left() <= before
